@@ -2,10 +2,63 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankloom.operators import orphans
+from rankloom.shared import table
+
+
+def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions, acl = table(spark, sf_dir, "questions"), table(spark, sf_dir, "acl_docs")
+    refs = [
+        orphans.references("questions", questions, F.col("id"), F.col("expected_doc_ids"), F.col("asked_at")),
+        orphans.references("acl_docs", acl, F.col("line_no"), F.col("doc_id"), F.col("ingested_at")),
+    ]
+    parents = table(spark, sf_dir, "docs").select(F.col("doc_id").alias("key"), F.col("ingested_at").alias("at"))
+    removed = table(spark, sf_dir, "doc_tombstones").select(F.col("doc_id").alias("key"), F.col("deleted_at").alias("gone"))
+    return orphans.orphans(refs, parents, removed)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orphans(spark, sf_dir)
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orphans.orphan_report(_orphans(spark, sf_dir))
+
+
+P7_FOUND = """
+with refs as (
+  select 'questions' as ref_table, id as ref_id, lower(trim(e)) as doc_id, asked_at as ts
+  from (select id, asked_at, unnest(expected_doc_ids) as e from questions)
+  union all
+  select 'acl_docs', cast(line_no as varchar), lower(trim(doc_id)), ingested_at from acl_docs
+), parents as (
+  select lower(trim(doc_id)) as k, ingested_at as ts from docs where trim(doc_id) <> ''
+), firsts as (
+  select k, min(ts) as first_ts from parents group by k
+), gone as (
+  select lower(trim(doc_id)) as k, deleted_at as d from doc_tombstones
+), judged as (
+  select r.*, case
+    when f.k is null then 'missing'
+    when f.first_ts > r.ts then 'late'
+    when exists (select 1 from gone g where g.k = r.doc_id and g.d <= r.ts
+                 and not exists (select 1 from parents p where p.k = r.doc_id and p.ts > g.d and p.ts <= r.ts)) then 'deleted' end as reason
+  from refs r left join firsts f on f.k = r.doc_id where r.doc_id <> ''
+)
+select distinct ref_table, ref_id, doc_id, strftime(ts, '%Y-%m') as period, reason from judged where reason is not null
+"""
+
+P7_REPORT = f"""
+select ref_table, period, reason, count(*) as "references", count(distinct doc_id) as keys from ({P7_FOUND}) group by 1, 2, 3
+"""
+
 
 def queries() -> dict:
-    return {}
+    return {"p7_found": p7_found, "p7_report": p7_report}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p7_found": P7_FOUND, "p7_report": P7_REPORT}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import mixing, neardup, neighbours, packing, ranking, token_budget
+from rankloom.llm import language, markup, mixing, neardup, neighbours, packing, ranking, token_budget
 from rankloom.operators.current import current_rows
 from rankloom.shared import table
 
@@ -43,6 +43,19 @@ def p2_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = current_rows(table(spark, sf_dir, "docs"), "doc_id", "line_no", ["text"])
+    return markup.clean_markup(docs, "doc_id", "text")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.markup_kinds(_cleaned(spark, sf_dir), "doc_id")
+
+
+def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cleaned(spark, sf_dir)
+
+
 def _near_docs(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
     docs = current_rows(table(spark, sf_dir, "docs"), "doc_id", "line_no", ["title", "text"])
     return neardup.NearDuplicates(docs, "doc_id", "text", "title", threshold=0.6, width=3)
@@ -104,8 +117,25 @@ def p9_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir).sequence()
 
 
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.segments(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.shares(_passages(spark, sf_dir), "doc_id")
+    return language.unstated(table(spark, sf_dir, "documents"), found, "doc_id", "lang")
+
+
+def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.shares(_passages(spark, sf_dir), "doc_id")
+
+
+def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _passages(spark, sf_dir).drop("text_chars")
+
+
 def queries() -> dict:
-    names = "p1_found p1_ranking p2_token_budget p4_found p4_classes p5_found p5_neighbours p6_found p8_found p8_containers p9_found p9_report p9_sequence"
+    names = "p1_found p1_ranking p2_token_budget p3_found p3_clean p4_found p4_classes p5_found p5_neighbours p6_found p8_found p8_containers p9_found p9_report p9_sequence p10_found p10_languages p10_passages"
     return {n: globals()[n] for n in names.split()}
 
 

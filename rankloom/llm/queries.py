@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import language, markup, mixing, neardup, neighbours, packing, ranking, token_budget
+from rankloom.llm import language, markup, mixing, neardup, neighbours, packing, ranking, sql, token_budget
 from rankloom.operators.current import current_rows
 from rankloom.shared import table
 
@@ -140,4 +140,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()

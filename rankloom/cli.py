@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rankloom import embedding
 from rankloom.operators import acl
 from rankloom.plans import retrieval
+from rankloom.shared import stored
 from rankloom.sources import readers, sinks
 from rankloom.streaming import ingest
 
@@ -86,7 +87,7 @@ def _evaluate(spark: SparkSession, a: argparse.Namespace) -> dict:
         asked = asked.withColumn("vector", embedding.embed_column(F.col("question"), _provider(a), "query"))
     began = time.time()
     chunks = _chunks(spark, a.index)
-    fused = retrieval.ranked_with_context(retrieval.retrieve(asked, chunks, config), chunks).persist()
+    fused = retrieval.ranked_with_context(stored(retrieval.retrieve(asked, chunks, config), "ranking"), chunks)
     sinks.write_details(sinks.details(asked.drop("vector"), fused), a.details_output)
     summary = retrieval.metrics.evaluate(asked, fused)
     return sinks.write_summary(summary, a.output, {"index": a.index, "retrieval": f"source_acl_{a.retrieval_mode}", "seconds": round(time.time() - began, 3), **{k: v for k, v in vars(config).items()}})

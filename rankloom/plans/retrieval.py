@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.analysis import english_terms, standard_terms
 from rankloom.functions.text import is_distinct_variant, keyword_query, token_count
 from rankloom.operators import fusion, metrics, search
+from rankloom.shared import stored
 
 MODES = ("dense", "bm25", "hybrid")
 
@@ -54,20 +55,22 @@ def routes(questions: DataFrame, chunks: DataFrame, config: RetrievalConfig) ->
     """The hits of every route that the mode asks for. questions: qid (unique), question, scope, vector. chunks: chunk_key, doc_id, title, text, tenant, source, allowed,
     denied, vector. A mode builds only the routes it needs; the keyword route has only questions whose rewrite differs."""
     out = []
+    if config.mode != "dense":
+        # Term arrays are made once, as a table: routes and statistics then read the columns they need.
+        chunks = stored(with_terms(chunks, config.english).drop("title", "text"), "index")
     if config.mode != "bm25":
         out.append(search.dense(questions, chunks, config.retriever_k, config.dense_chunk_candidates, config.tenant, weight=config.dense_weight))
     if config.mode != "dense":
-        indexed = with_terms(chunks, config.english)
         common = dict(k=config.retriever_k, k1=config.k1, b=config.b, tenant=config.tenant)
         plain = {"title": 2.0, "text": 1.0}
         asked = questions.select("qid", "question", "scope")
-        out.append(search.bm25(asked.withColumn("terms", standard_terms(F.col("question"))), indexed, plain, weight=config.bm25_weight, **common))
+        out.append(search.bm25(asked.withColumn("terms", standard_terms(F.col("question"))), chunks, plain, weight=config.bm25_weight, **common))
         if config.keyword:
             rewritten = asked.withColumn("rewritten", keyword_query(F.col("question"))).filter(is_distinct_variant(F.col("question"), F.col("rewritten")))
-            out.append(search.bm25(rewritten.withColumn("terms", standard_terms(F.col("rewritten"))), indexed, plain, route="keyword", route_ord=2, weight=config.keyword_weight, **common))
+            out.append(search.bm25(rewritten.withColumn("terms", standard_terms(F.col("rewritten"))), chunks, plain, route="keyword", route_ord=2, weight=config.keyword_weight, **common))
         if config.english:
             stemmed = {"title_english": 2.0, "text_english": 1.0}
-            out.append(search.bm25(asked.withColumn("terms", english_terms(F.col("question"))), indexed, stemmed, route="english", route_ord=3, weight=config.english_weight, **common))
+            out.append(search.bm25(asked.withColumn("terms", english_terms(F.col("question"))), chunks, stemmed, route="english", route_ord=3, weight=config.english_weight, **common))
     hits = out[0]
     for more in out[1:]:
         hits = hits.unionByName(more)
@@ -86,4 +89,5 @@ def ranked_with_context(fused: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def evaluate(questions: DataFrame, chunks: DataFrame, config: RetrievalConfig) -> DataFrame:
-    return metrics.evaluate(questions, ranked_with_context(retrieve(questions, chunks, config), chunks))
+    """Metrics overall and by slice. The fused ranking is written once, since gold, scopes and context each read it."""
+    return metrics.evaluate(questions, ranked_with_context(stored(retrieve(questions, chunks, config), "ranking"), chunks))

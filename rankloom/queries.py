@@ -13,7 +13,7 @@ from rankloom.functions.analysis import standard_terms
 from rankloom.operators import acl, chunking, fusion, metrics, orphans, search
 from rankloom.operators.current import current_rows
 from rankloom.plans import retrieval
-from rankloom.shared import table
+from rankloom.shared import stored, table
 from rankloom.sources import readers, sinks
 
 TENANT = "tenant_redline"
@@ -68,7 +68,7 @@ def four_weights(hits: DataFrame) -> DataFrame:
 def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Questions per run with the fused ranking of the hits table, ready for metrics. Latency is the time from hit_at to received_at."""
     raw = table(spark, sf_dir, "hits")
-    fused = fusion.rrf(four_weights(route_hits(spark, sf_dir)), 10, 50)
+    fused = stored(fusion.rrf(four_weights(route_hits(spark, sf_dir)), 10, 50), "ranking")
     asked = raw.groupBy(F.concat_ws("/", "run_id", "qid").alias("run_qid"), F.col("qid").alias("_q")).agg(
         (F.max(F.unix_micros(F.col("received_at").cast("timestamp")) - F.unix_micros(F.col("hit_at").cast("timestamp"))) / 1000.0).alias("latency_ms")
     )

@@ -15,8 +15,10 @@ from rankloom.llm.gru import ByteGru
 from rankloom.llm.token_budget import LANGUAGES, stated_languages
 
 #: Labelled texts of each language from which the network is trained at most, and characters of each.
-SAMPLE_TEXTS, SAMPLE_CHARS = 400, 400
+SAMPLE_TEXTS, SAMPLE_CHARS = 600, 400
 WINDOW, EDGE = 96, 8
+#: So many neighbouring bytes count as one independent observation.
+EVIDENCE = 10
 #: Bytes that a passage has at least, unless the text is shorter.
 PASSAGE = 24
 
@@ -59,6 +61,11 @@ def passages(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _shares(logs: np.ndarray) -> np.ndarray:
+    p = np.exp(logs - logs.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
 def train(docs: DataFrame, text: str, label: str, key: str, languages: list[str] = LANGUAGES, sample: int = SAMPLE_TEXTS, seed: int = 11) -> ByteGru | None:
     """A network from at most ``sample`` texts per language whose label states that language alone, chosen by a hash of their key.
     None if no language has a labelled text. Labels may be wrong now and then: see ByteGru.train."""
@@ -78,14 +85,14 @@ def train(docs: DataFrame, text: str, label: str, key: str, languages: list[str]
             continue
         if rng.random() < 0.35:
             body = without_accents(body)
-        data = np.frombuffer(body.encode(), np.uint8)
-        for _ in range(3):
-            a = int(rng.integers(0, max(1, len(data) - WINDOW + 1)))
-            part = np.zeros(WINDOW, np.uint8)
-            part[: len(data[a : a + WINDOW])] = data[a : a + WINDOW]
-            x.append(part)
-            y.append(languages.index(lang))
-    return ByteGru(len(languages)).train(np.array(x), np.array(y)) if x else None
+        x.append(np.frombuffer(body.encode(), np.uint8))
+        y.append(languages.index(lang))
+    if not x:
+        return None
+    texts = np.zeros((len(x), max(map(len, x)) + 2 * EDGE), np.uint8)
+    for i, data in enumerate(x):
+        texts[i, EDGE : EDGE + len(data)] = data
+    return ByteGru(len(languages)).train(texts, np.array(y))
 
 
 class Labeller:
@@ -112,11 +119,14 @@ class Labeller:
             mine = logs[first[i] : first[i + 1]].reshape(-1, len(self.languages))[: len(data[i])]
             where = np.append(np.flatnonzero((data[i] & 0xC0) != 0x80), len(data[i]))
             starts = where[[a for a, _ in cut]]
-            sums = np.add.reduceat(mine, starts, axis=0) / np.diff(np.append(starts, len(data[i])))[:, None]
+            sizes = np.diff(np.append(starts, len(data[i])))
+            mean = np.add.reduceat(mine, starts, axis=0) / sizes[:, None]
+            # The document's languages, pooled over its bytes, decide between those that a short passage leaves open.
+            own = _shares(mean)
+            pooled = (own * sizes[:, None]).sum(0) / sizes.sum()
+            sums = _shares(mean * (sizes / EVIDENCE)[:, None] + np.log(0.02 + 0.98 * pooled))
             best = sums.argmax(1)
-            # Mean log probabilities of a passage, as a share of all languages.
-            p = np.exp(sums - sums.max(1, keepdims=True))
-            p = p.max(1) / p.sum(1)
+            p = sums.max(1)
             found: list[tuple[int, int, str | None, float]] = []
             for (a, b), k, c in zip(cut, best, p, strict=True):
                 lang = self.languages[k] if _LETTER.search(t, a, b) else None

@@ -71,9 +71,10 @@ def top_n(df: DataFrame, groups: list[str], score: str, ties: list[str], n: int,
     return out.select(*groups, *ties, score, "rank")
 
 
-def ranked_scores(df: DataFrame, groups: list[str], score: str, least: int = HEAVY_ROWS) -> DataFrame:
-    """Every row with ``rank`` (bigint): 1 + the number of rows of its group with a larger score, so ties share a rank."""
-    heavy = heavy_groups(df, groups, least)
+def ranked_scores(df: DataFrame, groups: list[str], score: str, least: int = HEAVY_ROWS, counted: DataFrame | None = None) -> DataFrame:
+    """Every row with ``rank`` (bigint): 1 + the number of rows of its group with a larger score, so ties share a rank.
+    counted: a table to count groups in, if df is costly and one of at least as many rows is at hand."""
+    heavy = heavy_groups(df if counted is None else counted, groups, least)
     light, hot = _split(df, groups, heavy)
     place = Window.partitionBy(*groups).orderBy(F.col(score).desc())
     out = light.withColumn("rank", F.rank().over(place).cast("bigint"))
@@ -109,7 +110,7 @@ def fuse(df: DataFrame, questions: list[str], route: str, item: str, score: str,
     rows = df.select(*questions, route, item, F.col(score).cast("double").alias(score))
     rows = rows.filter(F.col(score).isNotNull() & ~F.isnan(score) & F.col(item).isNotNull())
     best = rows.groupBy(*questions, route, item).agg(F.max(score).alias(score))
-    ranks = ranked_scores(best, [*questions, route], score, least)
+    ranks = ranked_scores(best, [*questions, route], score, least, counted=rows)
     total = F.round(F.sum(1.0 / (F.lit(float(k)) + F.col("rank"))), 12)
     return ranks.groupBy(*questions, item).agg(total.alias("fused"), F.count(F.lit(1)).alias("routes"))
 

@@ -15,6 +15,8 @@ from rankloom.shared import small
 #: Vectors of a shard: 8 MB of 64 components, about 4 MB of edges, and the time one task takes to build its graph.
 SHARD_VECTORS = 32_768
 BEAM = 96
+#: Digits to which directions, scaled by their largest component, must agree to be copies.
+DIGITS = 4
 
 
 def usable(vector: Column, dims: int) -> Column:
@@ -31,7 +33,7 @@ def nearest(
     All usable items are indexed, in shards of about ``shard_vectors`` chosen by a hash of the direction; each shard's graph is searched for each query with a beam of ``beam``
     and its k best go into one ranking per query, ties by key. Misses are possible, the README states the measured share. Queries that are
     no usable item give no rows. A key counts once, with the vector of its largest ``latest`` (else the largest vector); a key is not its own neighbour.
-    Items of equal direction are indexed once and then stand for each other, at most k + 1 of the smallest keys, more cannot be among the best k. A table smaller than k + 1 gives what it has.
+    Items of equal direction (to four digits of their components) are indexed once and then stand for each other, at most k + 1 of the smallest keys, more cannot be among the best k. A table smaller than k + 1 gives what it has.
     """
     if k <= 0 or dims <= 0 or shard_vectors <= 0 or beam < k:
         raise ValueError("k, dims and shard_vectors must be positive and beam at least k")
@@ -39,9 +41,9 @@ def nearest(
     order = F.struct(F.col(latest).alias("o"), F.col(vector).alias("v")) if latest else F.struct(F.col(vector).alias("v"))
     good = items.filter(F.col(key).isNotNull() & usable(F.col(vector), dims))
     once = good.groupBy(F.col(key).alias("key")).agg(F.max(order).alias("m")).select("key", F.col("m.v").cast("array<float>").alias("v"))
-    # Directions: scaled by the largest component, so that copies of another length meet; six digits.
+    # Directions: scaled by the largest component, so that copies of another length meet; to DIGITS digits.
     top = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    direction = F.xxhash64(F.transform("v", lambda x: F.round(x / top, 6) + F.lit(0.0)))
+    direction = F.xxhash64(F.transform("v", lambda x: F.round(x.cast("double") / top, DIGITS) + F.lit(0.0)))
     shards = max(1, -(-good.count() // shard_vectors))
     placed = once.withColumn("same", direction)
     copies = Window.partitionBy("same").orderBy("key")
@@ -76,7 +78,7 @@ def nearest(
                     return
                 names, x = pa.chunked_array(keys).combine_chunks().to_numpy(zero_copy_only=False), np.concatenate(parts)
                 # Copies of a direction enter the graph once.
-                code = np.round(x / np.abs(x).max(1, keepdims=True), 6) + 0.0
+                code = np.round(x / np.abs(x).max(1, keepdims=True), DIGITS) + 0.0
                 _, first, group = np.unique(code.view(f"V{8 * dims}").ravel(), return_index=True, return_inverse=True)
                 members = np.argsort(group, kind="stable")
                 copies = np.split(members, np.cumsum(np.bincount(group))[:-1])
@@ -87,7 +89,7 @@ def nearest(
                 out_q, out_n, out_s = [], [], []
                 for j in range(len(ids)):
                     found = np.concatenate([copies[i] for i in ids[j] if i >= 0][: k + 1])
-                    s = x[found] @ q[at + j]
+                    s = np.round(x[found] @ q[at + j], 12)
                     for i in np.lexsort((names[found], -s)):
                         if names[found[i]] != asked[at + j]:
                             out_n.append(names[found[i]])

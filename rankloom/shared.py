@@ -52,6 +52,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly to at least three tasks a core, for maps whose work per row costs far more than moving the row: files or earlier
+    exchanges may hold them in fewer or uneven parts."""
+    spark = df.sparkSession
+    return df.repartition(max(partitions(spark), 3 * spark.sparkContext.defaultParallelism))
+
+
 def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     """Equality of all the named columns, with null equal to null."""
     return reduce(lambda a, b: a & b, (left[n].eqNullSafe(right[n]) for n in names))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.gru import ByteGru
 from rankloom.llm.token_budget import LANGUAGES, stated_languages
+from rankloom.shared import spread
 
 #: Labelled texts of each language from which the network is trained at most, and characters of each.
 SAMPLE_TEXTS, SAMPLE_CHARS = 600, 400
@@ -21,6 +22,8 @@ WINDOW, EDGE = 96, 8
 EVIDENCE = 10
 #: Bytes that a passage has at least, unless the text is shorter.
 PASSAGE = 24
+#: Characters of a text that are labelled at a time.
+PART = 1_000_000
 
 _END = regex.compile(r"\n+|[.!?;](?=\s)|[。！？；]")
 _LETTER = regex.compile(r"\p{L}")
@@ -95,12 +98,36 @@ def train(docs: DataFrame, text: str, label: str, key: str, languages: list[str]
     return ByteGru(len(languages)).train(texts, np.array(y))
 
 
+def joined(found: list, more: list) -> list:
+    """Passages in order, neighbours of one language as one; their confidence is the mean by length."""
+    found = list(found)
+    for a, b, lang, c in more:
+        if found and found[-1][2] == lang:
+            a0, b0, _, c0 = found[-1]
+            found[-1] = (a0, b, lang, (c0 * (b0 - a0) + c * (b - a)) / (b - a0))
+        else:
+            found.append((a, b, lang, c))
+    return found
+
+
 class Labeller:
     def __init__(self, net: ByteGru, languages: list[str]):
         self.net, self.languages = net, languages
 
     def __call__(self, texts: list[str]) -> list[list[tuple[int, int, str | None, float]]]:
-        """Of each text its passages: (start, end, language or None, confidence), in characters; neighbours of one language are one passage."""
+        """Of each text its passages: (start, end, language or None, confidence), in characters; neighbours of one language are one passage.
+        Very long texts are labelled part by part, so that memory stays bounded."""
+        if not any(len(t) > PART for t in texts):
+            return self._label(texts)
+        out = []
+        for t in texts:
+            found: list[tuple[int, int, str | None, float]] = []
+            for at in range(0, len(t), PART):
+                found = joined(found, [(a + at, b + at, lang, c) for a, b, lang, c in self._label([t[at : at + PART]])[0]])
+            out.append(found)
+        return out
+
+    def _label(self, texts: list[str]) -> list[list[tuple[int, int, str | None, float]]]:
         plain = [plain_case(t) for t in texts]
         data = [np.frombuffer(p.encode(), np.uint8) for p in plain]
         views = [windows_of(d) for d in data]
@@ -127,16 +154,11 @@ class Labeller:
             sums = _shares(mean * (sizes / EVIDENCE)[:, None] + np.log(0.02 + 0.98 * pooled))
             best = sums.argmax(1)
             p = sums.max(1)
-            found: list[tuple[int, int, str | None, float]] = []
+            each = []
             for (a, b), k, c in zip(cut, best, p, strict=True):
                 lang = self.languages[k] if _LETTER.search(t, a, b) else None
-                c = float(c) if lang else 0.0
-                if found and found[-1][2] == lang:
-                    a0, b0, _, c0 = found[-1]
-                    found[-1] = (a0, b, lang, (c0 * (b0 - a0) + c * (b - a)) / (b - a0))
-                else:
-                    found.append((a, b, lang, c))
-            out.append(found)
+                each.append((a, b, lang, float(c) if lang else 0.0))
+            out.append(joined([], each))
         return out
 
 
@@ -145,7 +167,8 @@ def segments(docs: DataFrame, key: str, text: str, label: str, languages: list[s
 
     The network is trained once from a bounded sample of labelled rows; then every byte of every text is labelled, passage by passage the log probabilities are
     averaged, and neighbouring passages of one language are joined. Null and empty texts give no rows, rows without key are dropped, rows with equal
-    keys are labelled each. Without any labelled row there is no network and no result. A map over rows: texts are not shuffled.
+    keys are labelled each. Without any labelled row there is no network and no result. Texts are dealt evenly to all tasks, which costs
+    a hundredth of labelling them.
     """
     rows = docs.filter(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
@@ -168,7 +191,7 @@ def segments(docs: DataFrame, key: str, text: str, label: str, languages: list[s
                 yield pd.DataFrame(out, columns=["key", "start", "end", "chars", "language", "confidence", "text_chars"])
                 at = end
 
-    return rows.mapInPandas(each, schema).withColumnRenamed("key", key)
+    return spread(rows).mapInPandas(each, schema).withColumnRenamed("key", key)
 
 
 def shares(passages_: DataFrame, key: str) -> DataFrame:

@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.shared import spread
+
 KINDS = ("html", "latex", "markdown", "wiki")
 
 # Element names of HTML, those that stand alone, and those whose end may be left out.
@@ -391,7 +393,7 @@ def clean_markup(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, kinds (array of html, latex, markdown, wiki, sorted), text (plain), blocks, dropped (blocks of residue).
 
     One row in, one row out; rows with equal keys are cleaned each, rows without key are dropped. Null and blank texts give no kinds and an empty text.
-    Whole texts are read; other columns are not. A map over rows: no shuffle.
+    Whole texts are read; other columns are not. Texts are dealt evenly to all tasks, which costs little beside cleaning them.
     """
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
 
@@ -402,7 +404,7 @@ def clean_markup(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame({"key": batch["key"], "kinds": [f[0] for f in found], "text": [f[1] for f in found], "blocks": [f[2] for f in found], "dropped": [f[3] for f in found]})
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInPandas(each, f"key {kind}, kinds array<string>, text string, blocks bigint, dropped bigint").withColumnRenamed("key", key)
+    return spread(rows).mapInPandas(each, f"key {kind}, kinds array<string>, text string, blocks bigint, dropped bigint").withColumnRenamed("key", key)
 
 
 def markup_kinds(cleaned: DataFrame, key: str) -> DataFrame:

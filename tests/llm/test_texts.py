@@ -126,3 +126,12 @@ def test_languages_of_texts(spark):
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "abc", None), (2, "def", "xx")], "doc_id long, text string, lang string")
     assert language.segments(docs, "doc_id", "text", "lang").count() == 0
+
+
+def test_parts_of_long_texts(monkeypatch):
+    monkeypatch.setattr(language, "PART", 50)
+    net = ByteGru(2, hidden=4)
+    text = "Ein langer Satz mit Ümlauten. " * 9 + "第二句话。" * 12
+    found = language.Labeller(net, ["a", "b"])([text, "short", ""])
+    assert found[0][0][0] == 0 and found[0][-1][1] == len(text) and all(x[1] == y[0] and x[2] != y[2] for x, y in zip(found[0], found[0][1:], strict=False))
+    assert [f[:2] for f in found[1]] == [(0, 5)] and found[2] == []

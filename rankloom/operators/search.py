@@ -23,7 +23,9 @@ HITS = ["qid", "route", "route_ord", "weight", "rank", "doc_id", "chunk_key", "s
 
 
 def _shards(items: DataFrame, shard_items: int) -> int:
-    return max(1, -(-items.count() // shard_items))
+    """As many as keep a shard within its size, and as many as there are cores while that leaves each 512 items."""
+    n = items.count()
+    return max(1, -(-n // shard_items), min(items.sparkSession.sparkContext.defaultParallelism, n // 512))
 
 
 def _streams(items: DataFrame, questions: DataFrame, shards: int, shard_of: Column, search: Callable, schema: str) -> DataFrame:

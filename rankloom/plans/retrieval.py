@@ -78,8 +78,11 @@ def routes(questions: DataFrame, chunks: DataFrame, config: RetrievalConfig) ->
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, config: RetrievalConfig) -> DataFrame:
-    """qid, rank, doc_id, chunk_key, score of the fused ranking. A question with one route keeps that route's scores."""
-    return fusion.rrf(routes(questions, chunks, config), config.rrf_k, config.top_k, bypass=True)
+    """qid, rank, doc_id, chunk_key, score of the fused ranking. A question with one route keeps that route's scores.
+    The hits, at most k per question and route, are written first: fusion reads them twice, and a union of routes that are all partitioned by question
+    must not be taken for a partitioned table itself."""
+    hits = stored(routes(questions, chunks, config), "hits")
+    return fusion.rrf(hits, config.rrf_k, config.top_k, bypass=True)
 
 
 def ranked_with_context(fused: DataFrame, chunks: DataFrame) -> DataFrame:

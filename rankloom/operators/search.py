@@ -37,7 +37,15 @@ def _streams(items: DataFrame, questions: DataFrame, shards: int, shard_of: Colu
     return rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind").mapInPandas(search, schema)
 
 
-def _best(score: np.ndarray, docs: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+def _frame(found: list[tuple], qids: np.ndarray, docs: np.ndarray, keys: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Rows of (question's place, items, scores)."""
+    if found:
+        at = np.concatenate([i for _, i, _ in found]).astype(np.int64)
+        who = np.repeat([j for j, _, _ in found], [len(i) for _, i, _ in found]).astype(np.int64)
+        yield pd.DataFrame({"qid": qids[who], "doc_id": docs[at], "chunk_key": keys[at], "score": np.concatenate([s for _, _, s in found])})
+
+
+def _best(score: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     """Items that hold a document's best score (the first of equals), of the k best documents and those that tie with the last.
     Items are sorted by document and chunk; starts are the documents' first items."""
     top = np.maximum.reduceat(score, starts)
@@ -138,7 +146,7 @@ def bm25(
                 scopes_ = _Scopes(rows, tenant)
                 keys = rows["chunk_key"].to_numpy()
             out: list[tuple] = []
-            for qid, scope, qf, qt, qg in asked_[["qid", "scope", "q_field", "q_term", "q_gain"]].itertuples(index=False):
+            for j, (scope, qf, qt, qg) in enumerate(asked_[["scope", "q_field", "q_term", "q_gain"]].itertuples(index=False)):
                 total = np.zeros(len(docs))
                 for f in names:
                     part = np.zeros(len(docs))
@@ -148,9 +156,9 @@ def bm25(
                             part[texts[at[0] : at[1]]] += gain_ * impact[at[0] : at[1]]
                     np.maximum(total, boosts[f] * part, out=total)
                 score = np.where((total > 0) & scopes_(scope), np.round(total, 6), -np.inf)
-                out += [(qid, docs[i], keys[i], float(score[i])) for i in _best(score, docs, starts, k)]
-            if out:
-                yield pd.DataFrame(out, columns=["qid", "doc_id", "chunk_key", "score"])
+                at = _best(score, starts, k)
+                out.append((j, at, score[at]))
+            yield from _frame(out, asked_["qid"].to_numpy(), docs, keys)
 
     found = _streams(items, ready, shards, F.xxhash64("doc_id", "chunk_key"), search, "qid string, doc_id string, chunk_key string, score double")
     # A document's chunks may lie in several shards: its best one stands for it.
@@ -222,16 +230,15 @@ def dense(
                     x, ok = units[dims]
                     q, q_ok = unit(same["q_vector"].tolist(), dims)
                     every = np.round(q @ x.T, 6)
-                    for j, (qid, scope_) in enumerate(zip(same["qid"], same["scope"], strict=True)):
+                    for j, (place, scope_) in enumerate(zip(part.index.get_indexer(same.index), same["scope"], strict=True)):
                         if not q_ok[j]:
                             continue
                         live = np.flatnonzero(ok & scopes(scope_))
                         if len(live) > k_chunks:
                             s = every[j, live]
                             live = live[s >= np.partition(s, len(s) - k_chunks)[len(s) - k_chunks]]
-                        out += [(qid, docs[i], keys[i], float(every[j, i])) for i in live]
-                if out:
-                    yield pd.DataFrame(out, columns=["qid", "doc_id", "chunk_key", "score"])
+                        out.append((place, live, every[j, live]))
+                yield from _frame(out, part["qid"].to_numpy(), docs, keys)
 
     found = _streams(items, ready, shards, F.xxhash64("doc_id", "chunk_key"), search, "qid string, doc_id string, chunk_key string, score double")
     near = Window.partitionBy("qid").orderBy(F.col("score").desc(), "doc_id", "chunk_key")

@@ -13,8 +13,9 @@ from rankloom.functions.analysis import standard_terms
 from rankloom.operators import acl, chunking, fusion, metrics, orphans, search
 from rankloom.operators.current import current_rows
 from rankloom.plans import retrieval
-from rankloom.shared import stored, table
+from rankloom.shared import stored, table, work_path
 from rankloom.sources import readers, sinks
+from rankloom.streaming import ingest
 
 TENANT = "tenant_redline"
 CUT = 10
@@ -148,6 +149,20 @@ def missing_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.missing_expected(docs_of(spark, sf_dir).select(T.normal_id(F.col("doc_id")).alias("doc_id")), wanted)
 
 
+def stream_ingest_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The docs table delivered as files in two halves and ingested in two runs, the second of which continues the first; then the chunk table."""
+    folder = work_path(spark, "ingest")
+    rows, acl_rows = table(spark, sf_dir, "docs"), table(spark, sf_dir, "acl_docs")
+    half = rows.agg(F.percentile_approx("line_no", 0.5)).collect()[0][0]
+    acl_rows.filter(F.trim("doc_id") != "").orderBy("line_no").drop("line_no", "ingested_at").write.json(f"{folder}/acl")
+    config = ingest.IngestConfig(f"{folder}/in/*", f"{folder}/acl", f"{folder}/index", "letters", 26, files_per_batch=200)
+    sinks.create_index(config.index, config.model, config.dimension)
+    for name, part in (("first", rows.filter(F.col("line_no") <= half)), ("second", rows.filter(F.col("line_no") > half))):
+        current_rows(part, "doc_id", "line_no", ["title", "text", "source_path", "source_dataset", "source_type"]).write.json(f"{folder}/in/{name}")
+        ingest.ingest(spark, config)
+    return ingest.read_index(spark, config.index).select("chunk_key", "doc_id", "source_type", "tenant_id", "content_hash")
+
+
 # --- Access.
 
 
@@ -308,7 +323,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES = """
 clean_text content_hash token_count keyword_rewrite standard_term_counts embedding_input chunk_documents chunk_stats_by_source chunk_projection acl_join_defaults
-ingest_dedupe_last_wins export_filler_quota missing_gold acl_visible_chunks acl_unscoped_bypass df_idf_stats bm25_best_fields bm25_acl_filtered bm25_keyword_route
+ingest_dedupe_last_wins export_filler_quota missing_gold stream_ingest_resume acl_visible_chunks acl_unscoped_bypass df_idf_stats bm25_best_fields bm25_acl_filtered bm25_keyword_route
 bm25_english_route dense_topk dense_filtered collapse_best_chunk route_ranks rrf_two_route rrf_weighted_four_route rrf_single_route_bypass question_metrics
 metrics_overall metrics_by_type metrics_by_source latency_p95 details_flat hybrid_metrics p7_found p7_report
 """.split()

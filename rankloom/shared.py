@@ -71,3 +71,39 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _file(path: str) -> tuple:
+    """A path's file system, whichever it is, and the path in it."""
+    spark = SparkSession.active()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(path: str) -> bool:
+    fs, target = _file(path)
+    return fs.exists(target)
+
+
+def read_text(path: str) -> str:
+    fs, target = _file(path)
+    stream = fs.open(target)
+    try:
+        return SparkSession.active()._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(path: str, text: str) -> None:
+    """A whole file or none: written beside and moved into place."""
+    fs, target = _file(path)
+    _, part = _file(f"{path}.tmp")
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if fs.exists(target):
+        fs.delete(target, False)
+    if not fs.rename(part, target):
+        raise OSError(f"{path} could not be moved into place")

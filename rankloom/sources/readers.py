@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from rankloom.shared import read_text
+
 DOC_SCHEMA = "doc_id string, title string, text string, source_path string, source_dataset string, source_type string"
 _ACL_FIELDS = ("doc_id", "tenant_id", "classification", "allowed_group_ids", "denied_group_ids")
 
@@ -111,4 +112,4 @@ def missing_expected(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def read_manifest(path: str) -> dict:
-    return json.loads(Path(path, "manifest.json").read_text())
+    return json.loads(read_text(f"{path}/manifest.json"))

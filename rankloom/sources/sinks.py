@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-import os
 from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.shared import exists, write_text
+
 CHUNK_SCHEMA = (
     "chunk_key string, doc_id string, chunk_id int, title string, text_content string, source_type string, source_path string, source_dataset string, tenant_id string, "
     "classification string, allowed array<string>, denied array<string>, content_hash string, model string, indexed_at timestamp, vector array<float>"
@@ -17,19 +18,14 @@ CHUNK_SCHEMA = (
 
 
 def write_json(path: str, value: dict) -> None:
-    """A whole file or none: written beside and moved into place."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    part = target.with_name(target.name + ".tmp")
-    part.write_text(json.dumps(value, ensure_ascii=False, indent=2))
-    os.replace(part, target)
+    write_text(path, json.dumps(value, ensure_ascii=False, indent=2))
 
 
 def create_index(path: str, model: str, dimension: int, k1: float = 2.2, b: float = 1.0, skip_existing: bool = False, extra: dict | None = None) -> bool:
     """Make an empty index: a folder with its manifest. True if made; an existing one is an error, or left alone with ``skip_existing``. Never deletes."""
     if dimension <= 0 or k1 < 0 or not 0 <= b <= 1:
         raise ValueError("dimension must be positive, k1 at least 0 and b between 0 and 1")
-    if Path(path, "manifest.json").exists():
+    if exists(f"{path}/manifest.json"):
         if skip_existing:
             return False
         raise FileExistsError(path)
@@ -54,6 +50,7 @@ def write_summary(summary: DataFrame, path: str, echo: dict | None = None) -> di
 
 
 def append_failure(path: str, error: Exception, **state: object) -> None:
+    """One more line of the driver's own log of failures, a local file."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     with open(path, "a") as f:
         f.write(json.dumps({"failed_at": datetime.now(timezone.utc).isoformat(), **state, "error_type": type(error).__name__, "error": str(error)[:2000]}) + "\n")

@@ -7,13 +7,13 @@ import json
 import time
 from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.embedding import EmbeddingProvider, embed_column
 from rankloom.operators.chunking import build_chunks, check_sizes, passage
+from rankloom.shared import exists, read_text
 from rankloom.sources.readers import read_acl, read_manifest, stream_docs
 from rankloom.sources.sinks import CHUNK_SCHEMA, append_failure, write_json
 
@@ -39,11 +39,11 @@ def check_signature(config: IngestConfig) -> None:
     manifest = read_manifest(config.index)
     if manifest["dimension"] != config.dimension or manifest["model"] != config.model:
         raise ValueError("the index was made for another model or dimension")
-    state = Path(config.index, "_state", "signature.json")
-    if state.exists() and json.loads(state.read_text()) != {"version": 1, "signature": config.signature()}:
+    state, own = f"{config.index}/_state/signature.json", {"version": 1, "signature": config.signature()}
+    if not exists(state):
+        write_json(state, own)
+    elif json.loads(read_text(state)) != own:
         raise ValueError("the checkpoint was written with other settings")
-    if not state.exists():
-        write_json(str(state), {"version": 1, "signature": config.signature()})
 
 
 def upsert(batch: DataFrame, index: str, batch_id: int) -> None:
@@ -54,7 +54,7 @@ def upsert(batch: DataFrame, index: str, batch_id: int) -> None:
 
 def read_index(spark: SparkSession, index: str) -> DataFrame:
     """The chunk table: of every chunk key the row of the last batch."""
-    if not Path(index, "chunks").exists():
+    if not exists(f"{index}/chunks"):
         return spark.createDataFrame([], CHUNK_SCHEMA)
     rows = spark.read.schema(CHUNK_SCHEMA + ", batch string").parquet(f"{index}/chunks")
     names = [f.name for f in rows.schema if f.name not in ("batch", "chunk_key")]

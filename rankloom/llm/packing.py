@@ -21,6 +21,8 @@ from rankloom.functions.text import TOKEN_PATTERN
 #: Texts of a shard: what one task holds in memory at a time.
 SHARD_TEXTS = 4096
 K1, B = 1.2, 0.75
+#: A term in more than one of so many texts is frequent: its whole row holds at most so many times its impacts.
+FREQUENT = 16
 
 
 class Bm25Index:
@@ -44,20 +46,32 @@ class Bm25Index:
         idf = np.log1p((len(texts) - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / max(1e-9, float(lengths.mean()) if len(texts) else 1.0))
         self.impact = idf[row] * tf * (K1 + 1) / (tf + norm[self.texts]) if len(row) else tf
-        # A text's own terms, rarest first: the seed's query.
-        by_text = np.lexsort((df[row], self.texts))
+        # A text's own terms, rarest first: the seed's query. Terms of one text alone add to the score of that text only, which is never its own neighbour.
+        shared = np.flatnonzero(df[row] > 1)
+        by_text = shared[np.lexsort((df[row[shared]], self.texts[shared]))]
         self.own_terms = row[by_text]
         self.own_start = np.searchsorted(self.texts[by_text], np.arange(len(texts) + 1))
-
-    def scores(self, seed: int, terms: int) -> np.ndarray:
+        # Frequent terms also as whole rows, which add up faster than scattered impacts.
+        often = np.flatnonzero(df > len(texts) / FREQUENT)
+        self.whole = np.zeros((len(often), len(texts)), np.float32)
+        self.place = np.full(len(terms), -1, np.int64)
+        self.place[often] = np.arange(len(often))
+        hold = self.place[row]
+        self.whole[hold[hold >= 0], self.texts[hold >= 0]] = self.impact[hold >= 0]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every text for all distinct terms of the seed; the seed's own score lacks the terms that it alone holds."""
         out = np.zeros(len(self.own_start) - 1, np.float32)
-        for t in self.own_terms[self.own_start[seed] : self.own_start[seed + 1]][:terms]:
+        for t in self.own_terms[self.own_start[seed] : self.own_start[seed + 1]]:
+            if (at := self.place[t]) >= 0:
+                out += self.whole[at]
+                continue
             a, b = self.start[t], self.start[t + 1]
             out[self.texts[a:b]] += self.impact[a:b]
         return out
 
 
-def pack_shard(sizes: np.ndarray, index: Bm25Index, capacity: int, terms: int) -> np.ndarray:
+def pack_shard(sizes: np.ndarray, index: Bm25Index, capacity: int) -> np.ndarray:
     """The container's number of every text; every size is at most the capacity."""
     n = len(sizes)
     container = np.full(n, -1, np.int64)
@@ -84,7 +98,7 @@ def pack_shard(sizes: np.ndarray, index: Bm25Index, capacity: int, terms: int) -
     while (seed := longest(capacity)) >= 0:
         container[seed] = number
         room = capacity - int(sizes[seed])
-        score = index.scores(seed, terms)
+        score = index.scores(seed)
         score[(container >= 0) | (sizes > room)] = 0
         near = np.flatnonzero(score)
         for i in near[np.lexsort((near, -score[near]))]:
@@ -100,16 +114,16 @@ def pack_shard(sizes: np.ndarray, index: Bm25Index, capacity: int, terms: int) -
     return container
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 512, shard_texts: int = SHARD_TEXTS, terms: int = 32) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 512, shard_texts: int = SHARD_TEXTS) -> DataFrame:
     """Every text's container: key, piece, pieces, tokens, shard, container.
 
     Sizes are tokens of the project. A text of more than ``capacity`` tokens is cut after each ``capacity`` tokens; its full pieces are containers of their own and its rest is packed like a
     text. No other text is split. Null and empty texts have no tokens and go into containers like others; rows without key are dropped; rows with equal keys are packed
     each. (shard, container) names a container. Shards hold about ``shard_texts`` texts, chosen by a hash of the key, so their number follows the table
-    and no task holds more than one shard. ``terms`` is the number of a seed's rarest terms that query the index.
+    and no task holds more than one shard. All distinct terms of a seed query the index.
     """
-    if capacity <= 0 or shard_texts <= 0 or terms <= 0:
-        raise ValueError("capacity, shard_texts and terms must be positive")
+    if capacity <= 0 or shard_texts <= 0:
+        raise ValueError("capacity and shard_texts must be positive")
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     shards = max(1, -(-rows.count() // shard_texts))
@@ -136,7 +150,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
                     owner.append(i)
                     piece.append(full)
             sizes = np.array([len(w) for w in words], np.int64)
-            at = pack_shard(sizes, Bm25Index(words), capacity, terms) if words else np.zeros(0, np.int64)
+            at = pack_shard(sizes, Bm25Index(words), capacity) if words else np.zeros(0, np.int64)
             number = int(at.max()) + 1 if len(at) else 0
             out = [(i, p, n, number + j) for j, (i, p, n, _) in enumerate(out)]
             out += list(zip(owner, piece, sizes.tolist(), at.tolist(), strict=True))

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -151,3 +152,22 @@ def test_neighbours_share_a_container(spark):
     got = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), capacity=40).collect()
     at = {r["doc_id"]: r["container"] for r in got}
     assert at[0] == at[3] and at[1] == at[4] and at[2] == at[5]
+
+
+def test_every_term_of_a_seed_counts():
+    rng = np.random.default_rng(3)
+    weight = 1 / np.arange(1, 901)
+    texts = [[f"w{i}" for i in rng.choice(900, int(rng.integers(60, 300)), p=weight / weight.sum())] + [f"own{j}_{i}" for i in range(40)] for j in range(120)]
+    index = packing.Bm25Index(texts)
+    held = [set(t) for t in texts]
+    mean = np.mean([len(t) for t in texts])
+    df = Counter(w for h in held for w in h)
+    idf = {w: np.log(1 + (len(texts) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    counts = [Counter(t) for t in texts]
+    for seed in range(0, 120, 7):
+        got, want = index.scores(seed), np.zeros(len(texts))
+        for i, c in enumerate(counts):
+            norm = packing.K1 * (1 - packing.B + packing.B * len(texts[i]) / mean)
+            want[i] = sum(idf[w] * c[w] * (packing.K1 + 1) / (c[w] + norm) for w in held[seed] & held[i])
+        others = np.arange(len(texts)) != seed
+        np.testing.assert_allclose(got[others], want[others], rtol=1e-4)

@@ -15,8 +15,8 @@ from rankloom.shared import small
 #: Vectors of a shard: 8 MB of 64 components, about 4 MB of edges, and the time one task takes to build its graph.
 SHARD_VECTORS = 32_768
 BEAM = 96
-#: Digits to which directions, scaled by their largest component, must agree to be copies.
-DIGITS = 4
+#: Unit vectors nearer than LINK may form a group, whose members lie within RADIUS of its first; the graph's single precision could hardly tell them apart.
+LINK, RADIUS = 1e-3, 2e-3
 
 
 def usable(vector: Column, dims: int) -> Column:
@@ -25,6 +25,45 @@ def usable(vector: Column, dims: int) -> Column:
     return F.coalesce((F.size(vector) == dims) & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def near_groups(x: np.ndarray, tries: int = 4, steps: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of nearly equal unit vectors: (order of the rows by group with the leader first, start of each group in it and the end, distance of its farthest member).
+
+    Vectors that lie side by side along a random line are compared; chains of close ones are split around leaders, so a group never reaches farther than RADIUS.
+    A close pair that is not noticed stays in two groups, which costs nothing but a place in the graph.
+    """
+    n = len(x)
+    a, b = [], []
+    for line in np.random.default_rng(7).normal(size=(tries, x.shape[1])):
+        along = np.argsort(x @ line, kind="stable")
+        for step in range(1, min(steps, n - 1) + 1):
+            i, j = along[:-step], along[step:]
+            gap = x[i] - x[j]
+            close = np.einsum("ij,ij->i", gap, gap) <= LINK * LINK
+            a.append(i[close])
+            b.append(j[close])
+    a, b = (np.concatenate(e) if e else np.zeros(0, np.int64) for e in (a, b))
+    label = np.arange(n)
+    while len(a) and (label[a] != label[b]).any():
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], least)
+        np.minimum.at(label, label[b], least)
+        while (label[label] != label).any():
+            label = label[label]
+    order = np.argsort(label, kind="stable")
+    bounds = np.flatnonzero(np.concatenate([[True], np.diff(label[order]) != 0, [True]]))
+    rows, sizes, reach = [], [], []
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        left = order[lo:hi]
+        while len(left):
+            gap = np.sqrt(((x[left] - x[left[0]]) ** 2).sum(1)) if len(left) > 1 else np.zeros(1)
+            near = gap <= RADIUS
+            rows.append(left[near])
+            sizes.append(int(near.sum()))
+            reach.append(float(gap[near].max()))
+            left = left[~near]
+    return np.concatenate(rows), np.concatenate([[0], np.cumsum(sizes)]), np.array(reach)
+
+
 def nearest(
     items: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, dims: int = 64, latest: str | None = None, shard_vectors: int = SHARD_VECTORS, beam: int = BEAM
 ) -> DataFrame:
@@ -33,7 +72,8 @@ def nearest(
     All usable items are indexed, in shards of about ``shard_vectors`` chosen by a hash of the direction; each shard's graph is searched for each query with a beam of ``beam``
     and its k best go into one ranking per query, ties by key. Misses are possible, the README states the measured share. Queries that are
     no usable item give no rows. A key counts once, with the vector of its largest ``latest`` (else the largest vector); a key is not its own neighbour.
-    Items of equal direction (to four digits of their components) are indexed once and then stand for each other, at most k + 1 of the smallest keys, more cannot be among the best k. A table smaller than k + 1 gives what it has.
+    Nearly equal directions enter a graph once, and all of them are compared with a query that comes near. Only of items whose scaled directions are equal in every bit the k + 1 smallest keys suffice:
+    their cosines are equal, so more cannot be among the best k. Shards go by the exact direction, so a large group of nearly equal ones lies in all of them. A table smaller than k + 1 gives what it has.
     """
     if k <= 0 or dims <= 0 or shard_vectors <= 0 or beam < k:
         raise ValueError("k, dims and shard_vectors must be positive and beam at least k")
@@ -41,9 +81,9 @@ def nearest(
     order = F.struct(F.col(latest).alias("o"), F.col(vector).alias("v")) if latest else F.struct(F.col(vector).alias("v"))
     good = items.filter(F.col(key).isNotNull() & usable(F.col(vector), dims))
     once = good.groupBy(F.col(key).alias("key")).agg(F.max(order).alias("m")).select("key", F.col("m.v").cast("array<float>").alias("v"))
-    # Directions: scaled by the largest component, so that copies of another length meet; to DIGITS digits.
+    # Directions: scaled by the largest component, so that copies of another length meet.
     top = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    direction = F.xxhash64(F.transform("v", lambda x: F.round(x.cast("double") / top, DIGITS) + F.lit(0.0)))
+    direction = F.xxhash64(F.transform("v", lambda x: x.cast("double") / top.cast("double") + F.lit(0.0)))
     shards = max(1, -(-good.count() // shard_vectors))
     placed = once.withColumn("same", direction)
     copies = Window.partitionBy("same").orderBy("key")
@@ -63,7 +103,7 @@ def nearest(
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, parts = [], []
-        names, x, copies, graph = None, None, None, None
+        names, x, graph = None, None, None
         for batch in batches:
             kinds = batch.column("kind").to_numpy()
             stored = int((kinds == 0).sum())
@@ -77,20 +117,30 @@ def nearest(
                 if not parts:
                     return
                 names, x = pa.chunked_array(keys).combine_chunks().to_numpy(zero_copy_only=False), np.concatenate(parts)
-                # Copies of a direction enter the graph once.
-                code = np.round(x / np.abs(x).max(1, keepdims=True), DIGITS) + 0.0
-                _, first, group = np.unique(code.view(f"V{8 * dims}").ravel(), return_index=True, return_inverse=True)
-                members = np.argsort(group, kind="stable")
-                copies = np.split(members, np.cumsum(np.bincount(group))[:-1])
-                graph = VectorGraph(x[first].astype(np.float32))
+                # Nearly equal directions enter the graph once; a group's members lie side by side.
+                order, start, reach = near_groups(x)
+                names, x = names[order], x[order]
+                alphabet = np.empty(len(names), np.int64)
+                alphabet[np.argsort(names, kind="stable")] = np.arange(len(names))
+                graph = VectorGraph(x[start[:-1]].astype(np.float32))
             asked, q = name.slice(stored).to_numpy(zero_copy_only=False), unit(v.slice(stored))
             for at in range(0, len(q), 512):
-                ids, _ = graph.search(q[at : at + 512].astype(np.float32), min(beam, max(1, len(graph.x))))
+                ids, sims = graph.search(q[at : at + 512].astype(np.float32), min(beam, max(1, len(graph.x))))
+                # A member is at most its group's reach more similar than the leader, so groups that cannot come up to the (k + 1)th leader are left out.
+                able = ids >= 0
+                if ids.shape[1] > k:
+                    able &= sims + reach[ids] + 1e-6 >= sims[:, k : k + 1]
                 out_q, out_n, out_s = [], [], []
                 for j in range(len(ids)):
-                    found = np.concatenate([copies[i] for i in ids[j] if i >= 0][: k + 1])
-                    s = np.round(x[found] @ q[at + j], 12)
-                    for i in np.lexsort((names[found], -s)):
+                    groups = [slice(start[i], start[i + 1]) for i in ids[j][able[j]]]
+                    found = np.concatenate([np.arange(p.start, p.stop) for p in groups])
+                    # Large groups are multiplied where they lie, without a copy.
+                    s = np.concatenate([x[p] @ q[at + j] for p in groups]) if len(found) > 1000 else x[found] @ q[at + j]
+                    s = np.round(s, 12)
+                    if len(found) > k + 1:
+                        top = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
+                        found, s = found[top], s[top]
+                    for i in np.lexsort((alphabet[found], -s)):
                         if names[found[i]] != asked[at + j]:
                             out_n.append(names[found[i]])
                             out_s.append(float(s[i]))

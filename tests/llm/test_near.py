@@ -154,3 +154,25 @@ def test_few_vectors(spark):
     assert got == [("a", "b", 1), ("a", "c", 2), ("b", "a", 1), ("b", "c", 2), ("c", "a", 1), ("c", "b", 2)]
     assert neighbours.nearest(df.limit(0), df, "key", "v").count() == 0
     assert neighbours.nearest(df, df.limit(0), "key", "v").count() == 0
+
+
+@pytest.mark.parametrize("jitter", [1e-7, 1e-5, 5e-5])
+def test_nearest_among_nearly_equal(spark, jitter):
+    rng = np.random.default_rng(11)
+    x = unit(600).astype(np.float64)
+    x[400:] = x[400] + np.abs(x[400]).max() * rng.uniform(-jitter, jitter, (200, 64))
+    items = [(f"k{i:03d}", x[i].astype(np.float32).astype(float).tolist(), 0) for i in range(600)]
+    asked = [f"k{i:03d}" for i in range(400, 600, 20)]
+    df, queries = spark.createDataFrame(items, "key string, v array<float>, at long"), spark.createDataFrame([(a,) for a in asked], "key string")
+    got = {}
+    for r in neighbours.nearest(df, queries, "key", "v", k=10, shard_vectors=300).collect():
+        got.setdefault(r["query"], set()).add(r["neighbour"])
+    want = nearest(items, asked, 10)
+    assert got == {q: {n for _, n in want[q]} for q in asked}
+
+
+def test_groups_do_not_chain():
+    angle = np.arange(3000) * 4e-4
+    order, start, reach = neighbours.near_groups(np.stack([np.cos(angle), np.sin(angle)], 1))
+    assert sorted(order) == list(range(3000)) and start[-1] == 3000
+    assert len(reach) > 100 and reach.max() <= neighbours.RADIUS

@@ -53,7 +53,10 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def route_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hits table as rankings: per run, question and route the best score of every document, ranked by score, then document. qid is run and question."""
+    """The hits table as rankings: per run, question and route the best score of every document, ranked by score, then document. qid is run and question.
+
+    Ranks above 50 are left out before fusion, as a retriever of retriever_k = 50 would not have returned them; the README says how many.
+    """
     rows = table(spark, sf_dir, "hits").filter("score is not null and not isnan(score)")
     best = rows.groupBy(F.concat_ws("/", "run_id", "qid").alias("qid"), "route", "route_ord", "doc_id").agg(F.max("score").alias("score"), F.max_by("chunk_id", F.struct("score", -F.col("chunk_id"))).alias("chunk_id"))
     order = Window.partitionBy("qid", "route").orderBy(F.col("score").desc(), "doc_id")

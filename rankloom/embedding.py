@@ -38,6 +38,16 @@ def letter_counts(text: Column) -> Column:
     return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in LETTERS])
 
 
+@dataclass
+class Letters:
+    """The vectors of ``letter_counts`` as a provider."""
+
+    dimension: int = len(LETTERS)
+
+    def embed(self, texts: list[str], role: str) -> list[list[float]]:
+        return [[float(low.count(c)) for c in LETTERS] for low in ((t or "").lower() for t in texts)]
+
+
 @dataclass
 class HashedWords:
     """Signed counts of hashed words, of length one: works offline and tells texts apart by their words."""

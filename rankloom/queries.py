@@ -162,8 +162,8 @@ def stream_ingest_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.create_index(config.index, config.model, config.dimension)
     for name, part in (("first", rows.filter(F.col("line_no") <= half)), ("second", rows.filter(F.col("line_no") > half))):
         current_rows(part, "doc_id", "line_no", ["title", "text", "source_path", "source_dataset", "source_type"]).write.json(f"{folder}/in/{name}")
-        ingest.ingest(spark, config)
-    return ingest.read_index(spark, config.index).select("chunk_key", "doc_id", "source_type", "tenant_id", "content_hash")
+        ingest.ingest(spark, config, embedding.Letters())
+    return ingest.read_index(spark, config.index).select("chunk_key", "doc_id", "source_type", "tenant_id", "content_hash", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")).alias("vector_hash"))
 
 
 # --- Access.

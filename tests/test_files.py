@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom import cli, embedding
+from rankloom import cli, embedding, queries
 from rankloom.sources import readers, sinks
 from rankloom.streaming import ingest
 
@@ -145,3 +145,15 @@ def test_export(spark):
     got = {r["doc_id"]: r for r in readers.export_corpus(docs, wanted, 1).collect()}
     assert sorted(got) == ["a", "b"] and got["a"]["text"] == "w" and got["b"]["source_path"] == "corpus:unknown:b"
     assert [r[0] for r in readers.missing_expected(docs, wanted).collect()] == ["gone"]
+
+
+def test_ingest_query_embeds(spark):
+    folder = "/root/testdata/sf0.001"
+    got = queries.stream_ingest_resume(spark, folder).collect()
+    assert got and all(r["vector_hash"] is not None for r in got) and len({r["vector_hash"] for r in got}) > 1
+
+
+def test_letters_are_letter_counts(spark):
+    texts = ["Hello, World", "", "zzz ÄB 12"]
+    want = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(embedding.letter_counts(F.col("t"))).collect()]
+    assert embedding.Letters().embed(texts, "document") == want

@@ -248,10 +248,9 @@ class Cleaner:
         text = regex.sub(r"\\(?:sub)*section\*?\{([^{}]*)\}", "\n\n## \ue002\\1\n\n", text)
         text = regex.sub(r"\\(?:label|ref|cite|eqref|pageref|index)\*?\{[^{}]*\}", "", text)
         text = regex.sub(r"\\footnote\{([^{}]*)\}", r" (\1)", text)
-        for _ in range(4):
-            text, n = regex.subn(r"(?<![A-Za-z0-9_:\\/])\\(?:text[a-z]{2}|emph|underline|mbox|url|href\{[^{}]*\}|[a-z]+)\*?\{([^{}]*)\}", r"\1", text)
-            if not n:
-                break
+        n = 1
+        while n:  # each pass takes the innermost commands and shortens the text
+            text, n = regex.subn(r"(?<![A-Za-z0-9_:\\/])\\(?:href\{[^{}]*\}|[A-Za-z]+)\*?\{([^{}]*)\}", r"\1", text)
         text = regex.sub(r"^[ \t]*\\item\b(?:\[[^\]\n]*\])?[ \t]*", "- ", text, flags=regex.M)
         return regex.sub(r"\\([%&#_${}])", r"\1", text).replace("~", " ")
 

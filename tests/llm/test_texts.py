@@ -135,3 +135,11 @@ def test_parts_of_long_texts(monkeypatch):
     found = language.Labeller(net, ["a", "b"])([text, "short", ""])
     assert found[0][0][0] == 0 and found[0][-1][1] == len(text) and all(x[1] == y[0] and x[2] != y[2] for x, y in zip(found[0], found[0][1:], strict=False))
     assert [f[:2] for f in found[1]] == [(0, 5)] and found[2] == []
+
+
+def test_deeply_nested_latex():
+    text = "see the word"
+    for name in ("emph", "textbf", "Large", "underline", "mbox", "textit", "LARGE", "emph"):
+        text = f"\\{name}{{{text}}}"
+    kinds, clean, _, _ = markup.Cleaner()(f"Here we {text} in the middle of a sentence that is long enough.")
+    assert kinds == ["latex"] and clean == "Here we see the word in the middle of a sentence that is long enough."

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rankloom import embedding
 from rankloom.operators import acl
 from rankloom.plans import retrieval
-from rankloom.shared import stored
+from rankloom.shared import release, stored
 from rankloom.sources import readers, sinks
 from rankloom.streaming import ingest
 
@@ -50,7 +50,8 @@ def _parser() -> argparse.ArgumentParser:
     command("create-index", ["index", "embedding-model"], {"embedding-dimension": 2048, "bm25-k1": 2.2, "bm25-b": 1.0, "skip-existing": False})
     command(
         "import", ["docs", "acl-docs", "index"],
-        {"embedding-model": "Qwen/Qwen3-Embedding-4B", "embedding-dimension": 2048, "chunk-size": 1200, "chunk-overlap": 200, "files-per-batch": 20, "max-retries": 3, "failure-log": "", "output": "", **service},
+        {"embedding-model": "Qwen/Qwen3-Embedding-4B", "embedding-dimension": 2048, "chunk-size": 1200, "chunk-overlap": 200, "files-per-batch": 20, "max-documents": 0,
+         "embedding-batch-size": 32, "max-retries": 3, "checkpoint": "", "dead-letters": False, "failure-log": "", "output": "", **service},
     )
     command(
         "evaluate", ["questions", "output", "details-output", "index"],
@@ -58,7 +59,7 @@ def _parser() -> argparse.ArgumentParser:
          "dense-weight": 0.5, "bm25-weight": 1.0, "keyword-bm25-enabled": False, "keyword-bm25-weight": 1.25, "english-bm25-enabled": False, "english-bm25-weight": 1.5, "top-k": 50,
          "tenant": acl.TENANT, **service},
     )
-    command("export", ["docs", "questions", "output"], {"filler": 0})
+    command("export", ["docs", "questions", "output"], {"filler": 0, "tenant": acl.TENANT})
     return top
 
 
@@ -83,39 +84,70 @@ def _evaluate(spark: SparkSession, a: argparse.Namespace) -> dict:
         a.english_bm25_enabled, a.english_bm25_weight, a.top_k, manifest["k1"], manifest["b"], a.tenant,
     )
     asked = readers.read_questions(spark, a.questions).select(F.col("id").alias("qid"), "question", "question_type", F.col("source_types").alias("scope"), F.col("expected_doc_ids").alias("expected"))
+    began, spent = time.time(), {}
     if a.retrieval_mode != "bm25":
-        asked = asked.withColumn("vector", embedding.embed_column(F.col("question"), _provider(a), "query"))
-    began = time.time()
+        asked = stored(asked.withColumn("vector", embedding.embed_column(F.col("question"), _provider(a), "query")), "asked")  # a vector must be asked for once only
+        spent["embedding"] = time.time() - began
     chunks = _chunks(spark, a.index)
-    fused = retrieval.ranked_with_context(stored(retrieval.retrieve(asked, chunks, config), "ranking"), chunks)
-    sinks.write_details(sinks.details(asked.drop("vector"), fused), a.details_output)
+    fused = retrieval.ranked_with_context(retrieval.retrieve(asked, chunks, config, spent), chunks)
+    number = max(1, asked.count())
+    _say({"event": "retrieval_progress", "completed": number, "total": number, "qps": round(number / max(0.001, time.time() - began), 2)})
+    # All questions run at once: a latency is a route's time divided by the questions.
+    mean = {f"{name}_latency_ms": round(1000 * spent.get(name, 0.0) / number, 6) for name in ("embedding", "dense", "bm25", "keyword", "english", "fusion")}
+    asked = asked.drop("vector").withColumns({n: F.lit(v) for n, v in mean.items()} | {"latency_ms": F.lit(sum(mean.values()))})
+    sinks.write_details(sinks.details(asked, fused), a.details_output)
     summary = retrieval.metrics.evaluate(asked, fused)
-    return sinks.write_summary(summary, a.output, {"index": a.index, "retrieval": f"source_acl_{a.retrieval_mode}", "seconds": round(time.time() - began, 3), **{k: v for k, v in vars(config).items()}})
+    label = f"source_acl_{a.retrieval_mode}"
+    run = f"{label}-{time.strftime('%Y%m%dT%H%M%SZ', time.gmtime())}"
+    return sinks.write_summary(summary, a.output, {"index": a.index, "retrieval": label, "run_id": run, "seconds": round(time.time() - began, 3), **mean, **{k: v for k, v in vars(config).items()}})
+
+
+def _export(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """docs, acl_docs, questions, missing_expected as folders of JSON lines, and source.json, which says what they hold."""
+    raw = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(a.questions)
+    raw = raw.select(F.explode("questions").alias("q")).select("q.*") if "questions" in raw.columns else raw
+    asked = stored(readers.normal_questions(raw), "asked")
+    docs = readers.read_docs(spark, a.docs)
+    wanted = asked.select(F.explode("expected_doc_ids").alias("doc_id")).filter(F.trim("doc_id") != "").distinct()
+    readers.export_corpus(docs, wanted, a.filler).write.json(f"{a.output}/docs")
+    held = spark.read.schema("doc_id string, source_type string, expected boolean").json(f"{a.output}/docs")
+    readers.export_acl(held, a.tenant).write.json(f"{a.output}/acl_docs")
+    asked.write.json(f"{a.output}/questions")
+    missing = stored(readers.missing_expected(held, wanted), "missing")
+    missing.write.json(f"{a.output}/missing_expected")
+    sums = held.agg(F.count(F.lit(1)), F.count_if("expected")).collect()[0]
+    out = {"documents": sums[0], "filler": sums[0] - sums[1], "questions": asked.count(), "expected": wanted.count(), "found": sums[1], "missing": missing.count()}
+    sinks.write_json(f"{a.output}/source.json", {"docs": a.docs, "questions_from": a.questions, **out})
+    return out
+
+
+def _say(event: dict) -> None:
+    print(json.dumps(event, default=str), flush=True)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> dict:
     a = _parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("rankloom").getOrCreate()
-    if a.command == "create-index":
-        out = {"index": a.index, "created": sinks.create_index(a.index, a.embedding_model, a.embedding_dimension, a.bm25_k1, a.bm25_b, a.skip_existing)}
-    elif a.command == "import":
-        config = ingest.IngestConfig(a.docs, a.acl_docs, a.index, a.embedding_model, a.embedding_dimension, a.chunk_size, a.chunk_overlap, a.files_per_batch)
-        out = ingest.ingest(spark, config, _provider(a), a.failure_log or None)
-        if a.output:
-            sinks.write_json(a.output, out)
-    elif a.command == "evaluate":
-        out = _evaluate(spark, a)
-    else:
-        docs, asked = readers.read_docs(spark, a.docs), readers.read_questions(spark, a.questions)
-        wanted = asked.select(F.explode("expected_doc_ids").alias("doc_id")).distinct()
-        readers.export_corpus(docs, wanted, a.filler).write.json(f"{a.output}/docs")
-        missing = readers.missing_expected(docs, wanted)
-        missing.write.json(f"{a.output}/missing_expected")
-        out = {"documents": spark.read.json(f"{a.output}/docs").count(), "missing": missing.count()}
-        if out["missing"]:
-            print(json.dumps(out))
-            sys.exit(1)
-    print(json.dumps(out, default=str))
+    try:
+        if a.command == "create-index":
+            out = {"index": a.index, "created": sinks.create_index(a.index, a.embedding_model, a.embedding_dimension, a.bm25_k1, a.bm25_b, a.skip_existing)}
+        elif a.command == "import":
+            config = ingest.IngestConfig(
+                a.docs, a.acl_docs, a.index, a.embedding_model, a.embedding_dimension, a.chunk_size, a.chunk_overlap, a.files_per_batch, a.max_documents,
+                a.embedding_batch_size, a.max_retries, a.checkpoint, a.dead_letters,
+            )
+            out = ingest.ingest(spark, config, _provider(a), a.failure_log or None, _say)
+            if a.output:
+                sinks.write_json(a.output, out)
+        elif a.command == "evaluate":
+            out = _evaluate(spark, a)
+        else:
+            out = _export(spark, a)
+    finally:
+        release()  # all results have been written by now
+    _say(out)
+    if a.command == "export" and out["missing"]:
+        sys.exit(1)
     return out
 
 

@@ -87,12 +87,15 @@ class HttpEmbeddings:
     def body(self, texts: list[str], role: str) -> dict:
         query = role == "query"
         if self.dialect == "dashscope":
-            settings: dict = {"dimension": self.dimension, "text_type": "query" if query else "document"}
+            settings: dict = {"dimension": self.dimension, "output_type": "dense", "text_type": "query" if query else "document"}
             if query and self.instruction.strip():
                 settings["instruct"] = self.instruction
             return {"model": self.model, "input": {"texts": texts}, "parameters": settings}
         told = [query_text(t, self.instruction) for t in texts] if query else texts
-        return {"model": self.model, "input": told, "encoding_format": "float", "dimension" if self.dialect == "local" else "dimensions": self.dimension}
+        body = {"model": self.model, "input": told, "encoding_format": "float"}
+        if self.dialect == "openai":
+            return {**body, "dimensions": self.dimension}
+        return {**body, "input_type": "query" if query else "passage", "dimension": self.dimension}
 
     def parse(self, answer: dict, count: int) -> list[list[float]]:
         rows = answer["output"]["embeddings"] if self.dialect == "dashscope" else answer["data"]
@@ -120,18 +123,26 @@ class HttpEmbeddings:
         raise AssertionError
 
 
-def embed_column(text: Column, provider: EmbeddingProvider, role: str, batch: int = 32) -> Column:
-    """Vectors of a text column, in batches inside the tasks: a vector stays in its text's row and is never matched by position later."""
+def embed_column(text: Column, provider: EmbeddingProvider, role: str, batch: int = 32, strict: bool = True) -> Column:
+    """Vectors of a text column, in batches inside the tasks: a vector stays in its text's row and is never matched by position later. If a batch fails, the query fails;
+    unless ``strict``, its texts are tried one by one then, and those that fail get null."""
+
+    def vectors_of(part: list[str]) -> list:
+        try:
+            vectors = provider.embed(part, role)
+            if len(vectors) != len(part) or any(len(v) != provider.dimension for v in vectors):
+                raise ValueError("the provider returned another number or dimension of vectors")
+            return vectors
+        except Exception:
+            if strict:
+                raise
+            return [None] if len(part) == 1 else [v for t in part for v in vectors_of([t])]
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def run(texts: pd.Series) -> pd.Series:
         values, out = texts.fillna("").tolist(), []
         for at in range(0, len(values), batch):
-            part = values[at : at + batch]
-            vectors = provider.embed(part, role)
-            if len(vectors) != len(part) or any(len(v) != provider.dimension for v in vectors):
-                raise ValueError("the provider returned another number or dimension of vectors")
-            out += vectors
+            out += vectors_of(values[at : at + batch])
         return pd.Series(out)
 
     return run(text)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,43 +54,51 @@ def with_terms(chunks: DataFrame, english: bool = False) -> DataFrame:
     return out.withColumns({"title_english_terms": english_terms(F.col("title")), "text_english_terms": english_terms(F.col("text"))}) if english else out
 
 
-def routes(questions: DataFrame, chunks: DataFrame, config: RetrievalConfig) -> DataFrame:
-    """The hits of every route that the mode asks for. questions: qid (unique), question, scope, vector. chunks: chunk_key, doc_id, title, text, tenant, source, allowed,
-    denied, vector. A mode builds only the routes it needs; the keyword route has only questions whose rewrite differs."""
-    out = []
-    if config.mode != "dense":
-        # Term arrays are made once, as a table: routes and statistics then read the columns they need.
-        chunks = stored(with_terms(chunks, config.english).drop("title", "text"), "index")
+def each_route(questions: DataFrame, chunks: DataFrame, config: RetrievalConfig) -> list[tuple[str, Callable[[], DataFrame]]]:
+    """The routes that the mode asks for, by name, each planned when called. questions: qid (unique), question, scope, vector. chunks: chunk_key, doc_id, title, text,
+    tenant, source, allowed, denied, vector. The keyword route has only questions whose rewrite differs."""
+    out: list[tuple[str, Callable[[], DataFrame]]] = []
     if config.mode != "bm25":
-        out.append(search.dense(questions, chunks, config.retriever_k, config.dense_chunk_candidates, config.tenant, weight=config.dense_weight))
+        out.append(("dense", lambda: search.dense(questions, chunks, config.retriever_k, config.dense_chunk_candidates, config.tenant, weight=config.dense_weight)))
     if config.mode != "dense":
+        # Term arrays are made once, as a table: routes and statistics then read the columns they need.
+        index = stored(with_terms(chunks, config.english).drop("title", "text", "vector"), "index")
         common = dict(k=config.retriever_k, k1=config.k1, b=config.b, tenant=config.tenant)
-        plain = {"title": 2.0, "text": 1.0}
+        plain, stemmed = {"title": 2.0, "text": 1.0}, {"title_english": 2.0, "text_english": 1.0}
         asked = questions.select("qid", "question", "scope")
-        out.append(search.bm25(asked.withColumn("terms", standard_terms(F.col("question"))), chunks, plain, weight=config.bm25_weight, **common))
+        rewritten = asked.withColumn("rewritten", keyword_query(F.col("question"))).filter(is_distinct_variant(F.col("question"), F.col("rewritten")))
+        out.append(("bm25", lambda: search.bm25(asked.withColumn("terms", standard_terms(F.col("question"))), index, plain, weight=config.bm25_weight, **common)))
         if config.keyword:
-            rewritten = asked.withColumn("rewritten", keyword_query(F.col("question"))).filter(is_distinct_variant(F.col("question"), F.col("rewritten")))
-            out.append(search.bm25(rewritten.withColumn("terms", standard_terms(F.col("rewritten"))), chunks, plain, route="keyword", route_ord=2, weight=config.keyword_weight, **common))
+            out.append(("keyword", lambda: search.bm25(rewritten.withColumn("terms", standard_terms(F.col("rewritten"))), index, plain, route="keyword", route_ord=2, weight=config.keyword_weight, **common)))
         if config.english:
-            stemmed = {"title_english": 2.0, "text_english": 1.0}
-            out.append(search.bm25(asked.withColumn("terms", english_terms(F.col("question"))), chunks, stemmed, route="english", route_ord=3, weight=config.english_weight, **common))
-    hits = out[0]
-    for more in out[1:]:
-        hits = hits.unionByName(more)
-    return hits
+            out.append(("english", lambda: search.bm25(asked.withColumn("terms", english_terms(F.col("question"))), index, stemmed, route="english", route_ord=3, weight=config.english_weight, **common)))
+    return out
+
+
+def routes(questions: DataFrame, chunks: DataFrame, config: RetrievalConfig) -> DataFrame:
+    """The hits of every route that the mode asks for."""
+    return reduce(DataFrame.unionByName, [plan() for _, plan in each_route(questions, chunks, config)])
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, config: RetrievalConfig) -> DataFrame:
+def retrieve(questions: DataFrame, chunks: DataFrame, config: RetrievalConfig, spent: dict | None = None) -> DataFrame:
     """qid, rank, doc_id, chunk_key, score of the fused ranking. A question with one route keeps that route's scores.
     The hits, at most k per question and route, are written first: fusion reads them twice, and a union of routes that are all partitioned by question
-    must not be taken for a partitioned table itself."""
-    hits = stored(routes(questions, chunks, config), "hits")
-    return fusion.rrf(hits, config.rrf_k, config.top_k, bypass=True)
+    must not be taken for a partitioned table itself. ``spent`` gets the seconds of every route and of fusion, which then run one after another, and the ranking is written."""
+    if spent is None:
+        return fusion.rrf(stored(routes(questions, chunks, config), "hits"), config.rrf_k, config.top_k, bypass=True)
+    found, began = [], time.time()
+    for name, plan in each_route(questions, chunks, config):
+        found.append(stored(plan(), f"hits-{name}"))
+        spent[name], began = time.time() - began, time.time()
+    fused = stored(fusion.rrf(reduce(DataFrame.unionByName, found), config.rrf_k, config.top_k, bypass=True), "ranking")
+    spent["fusion"] = time.time() - began
+    return fused
 
 
 def ranked_with_context(fused: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The fused ranking with what metrics and details need of its chunks; texts join after the top k, never before."""
-    parts = chunks.select("chunk_key", F.col("source").alias("source_type"), "title", token_count(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))).alias("tokens"))
+    """The fused ranking with what metrics and details need of its chunks; texts join after the top k, never before, and only those of ranked chunks are counted."""
+    used = fused.select("chunk_key").distinct()
+    parts = chunks.join(used, "chunk_key", "left_semi").select("chunk_key", F.col("source").alias("source_type"), "title", token_count(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))).alias("tokens"))
     return fused.join(parts, "chunk_key", "left")
 
 

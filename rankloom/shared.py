@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-#: A side is broadcast only after its rows were counted and found to be no more than this.
-BROADCAST_ROWS = 20_000
+#: A side is broadcast only after its bytes were summed and found to be no more than this.
+BROADCAST_BYTES = 16 << 20
+
+#: Working tables this process has written and not yet dropped.
+_WORKING: list[str] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a folder of our own only where the session names none."""
+    """The folder of ``spark.checkpoint.dir``. Where the session names none, a local session gets a folder of its own; on a cluster that is an error, since
+    executors would each write to their own disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="rankloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -31,7 +39,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new, empty place for a working table in the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/rankloom-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/rankloom-{name}-{uuid.uuid4().hex[:12]}"
+    _WORKING.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -41,11 +51,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
+def drop_path(path: str) -> None:
     """Delete a working table that is no longer read."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    fs, target = _file(path)
+    fs.delete(target, True)
+
+
+def release() -> None:
+    """Drop the working tables of this process. Results are lazy and still read them, so call it once what is wanted has been written."""
+    while _WORKING:
+        drop_path(_WORKING.pop())
 
 
 def partitions(spark: SparkSession) -> int:
@@ -64,9 +79,27 @@ def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (left[n].eqNullSafe(right[n]) for n in names))
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a table for broadcast if a count proves it small; else leave the choice to the planner."""
-    return F.broadcast(df) if len(df.limit(limit + 1).select(F.lit(1)).collect()) <= limit else df
+def _width(kind: DataType, column: Column) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 24
+    if isinstance(kind, ArrayType):
+        each = F.lit(16) * F.size(column) if not isinstance(kind.elementType, StringType) else F.octet_length(F.array_join(column, "", "")) + F.lit(24) * F.size(column)
+        return F.coalesce(F.greatest(each, F.lit(0)), F.lit(0)) + 24
+    if isinstance(kind, StructType):
+        return reduce(lambda a, b: a + b, (_width(f.dataType, column[f.name]) for f in kind), F.lit(16))
+    return F.lit(16)
+
+
+def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the table's bytes, summed over all its rows, are within the limit. One aggregate; store a costly table first."""
+    width = reduce(lambda a, b: a + b, (_width(f.dataType, F.col(f"`{f.name}`")) for f in df.schema), F.lit(16))
+    return (df.agg(F.sum(width.cast("bigint"))).collect()[0][0] or 0) <= limit
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a table for broadcast if its bytes prove it small; else leave the choice to the planner."""
+    return F.broadcast(df) if fits(df, limit) else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +118,12 @@ def exists(path: str) -> bool:
     return fs.exists(target)
 
 
+def rename(path: str, to: str) -> None:
+    fs, source = _file(path)
+    if not fs.rename(source, _file(to)[1]):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
 def read_text(path: str) -> str:
     fs, target = _file(path)
     stream = fs.open(target)

@@ -39,14 +39,28 @@ def read_docs(spark: SparkSession, path: str, limit: int = 0, done: int = 0) ->
     return df.limit(max(0, limit - done)) if limit else df
 
 
-def stream_docs(spark: SparkSession, path: str, files: int = 20) -> DataFrame:
-    """Documents as a stream of JSON-line files, so many files to a batch."""
-    return required(spark.readStream.schema(DOC_SCHEMA).option("mode", "FAILFAST").option("maxFilesPerTrigger", files).json(path), "doc_id")
+def stream_docs(spark: SparkSession, path: str, files: int = 20, broken: bool = False) -> DataFrame:
+    """Documents as a stream of JSON-line files, so many files to a batch. A malformed line or a missing id fails the batch; with ``broken`` such lines stay, with
+    their text in ``_broken`` (else null) and their file in ``_file``."""
+    source = spark.readStream.option("maxFilesPerTrigger", files)
+    if not broken:
+        return required(source.schema(DOC_SCHEMA).option("mode", "FAILFAST").json(path), "doc_id")
+    rows = source.schema(f"{DOC_SCHEMA}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
+    nameless = F.when(F.trim(F.coalesce("doc_id", F.lit(""))) == "", F.to_json(F.struct(*[c.split()[0] for c in DOC_SCHEMA.split(", ")])))
+    return rows.withColumn("_broken", F.coalesce("_broken", nameless)).withColumn("_file", F.col("_metadata.file_path"))
+
+
+def line_position(df: DataFrame, name: str) -> DataFrame:
+    """Add where each row of a text table stands, as a struct that sorts by file name, then by place in the file, however files are split and dealt to tasks:
+    rows of one split are read in order by one task."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return df.withColumn(name, place)
 
 
 def read_acl(spark: SparkSession, path: str) -> DataFrame:
-    """Access rows of JSON lines with lists coerced, and line_no, which grows along each file: the last row of a document counts."""
-    lines = spark.read.text(path).filter(F.trim("value") != "").withColumn("line_no", F.monotonically_increasing_id())
+    """Access rows of JSON lines with lists coerced, and line_no, which grows with the file's name and along each file: the last row of a document counts. Name later
+    deliveries so that they sort after earlier ones."""
+    lines = line_position(spark.read.text(path), "line_no").filter(F.trim("value") != "").select("line_no", "value")
     fields = {f: F.get_json_object("value", f"$.{f}") for f in _ACL_FIELDS}
     known = F.from_json("value", StructType([StructField(f, StringType()) for f in _ACL_FIELDS]), {"mode": "FAILFAST"})
     rows = lines.select("line_no", known.alias("r"), *[fields[f].alias(f"_{f}") for f in _ACL_FIELDS])
@@ -85,12 +99,30 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Add a dense number from 0 in reading order: one row per partition goes to the driver, no row moves."""
+    placed = df.withColumn("_task", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    sizes = placed.groupBy("_task").agg(F.count(F.lit(1)).alias("n")).collect()
+    before, total = {}, 0
+    for task, n in sorted((r["_task"], r["n"]) for r in sizes):
+        before[task], total = total, total + n
+    pairs = [F.lit(x).cast("bigint") for pair in before.items() for x in pair]
+    start = F.create_map(*pairs)[F.col("_task").cast("bigint")] if pairs else F.lit(0).cast("bigint")
+    return placed.withColumn(name, start + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))).drop("_task", "_row")
+
+
 def normal_questions(raw: DataFrame) -> DataFrame:
     """Questions of a public benchmark: id = question_id, id or q_0001 and so on by order; a single expected document becomes a list; blank questions go."""
     has = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
-    ordered = raw.filter(F.trim(F.coalesce(has("question"), F.lit(""))) != "")
-    position = F.format_string("q_%04d", F.monotonically_increasing_id() + 1)
-    return ordered.withColumn("id", F.coalesce(has("question_id"), has("id"), position)).withColumn("question_type", F.coalesce(has("question_type"), F.lit("unknown")))
+    asked = raw.filter(F.trim(F.coalesce(has("question"), F.lit(""))) != "")
+    ordered = numbered(asked, "_at") if {"question_id", "id"}.isdisjoint(raw.columns) or asked.filter(F.coalesce(has("question_id"), has("id")).isNull()).limit(1).count() else asked.withColumn("_at", F.lit(0))
+    position = F.format_string("q_%04d", F.col("_at") + 1)
+    listed = F.col("expected_doc_ids") if "expected_doc_ids" in raw.columns else F.lit(None)
+    if "expected_doc_ids" not in raw.columns or raw.schema["expected_doc_ids"].dataType.typeName() != "array":
+        value = listed.cast("string")
+        listed = F.when(value.isNull(), F.array().cast("array<string>")).when(value.startswith("["), F.from_json(value, ArrayType(StringType()))).otherwise(F.array(value))
+    ordered = ordered.withColumn("expected_doc_ids", F.coalesce(listed.cast("array<string>"), F.array().cast("array<string>")))
+    return ordered.withColumn("id", F.coalesce(has("question_id"), has("id"), position)).withColumn("question_type", F.coalesce(has("question_type"), F.lit("unknown"))).drop("_at")
 
 
 def export_corpus(docs: DataFrame, wanted: DataFrame, filler: int) -> DataFrame:
@@ -106,6 +138,15 @@ def export_corpus(docs: DataFrame, wanted: DataFrame, filler: int) -> DataFrame:
     return marked.filter("expected").unionByName(others).select("doc_id", F.coalesce("title", F.lit("")).alias("title"), "text", source.alias("source_type"), path.alias("source_path"), "expected")
 
 
+def export_acl(exported: DataFrame, tenant: str, classification: str = "internal") -> DataFrame:
+    """One access row per exported document: readable by everyone who may read its source."""
+    groups = F.array(F.lit("role:admin"), F.lit("role:employee"), F.concat(F.lit("source:"), F.col("source_type")))
+    none = F.array().cast("array<string>")
+    return exported.select(
+        "doc_id", F.lit(tenant).alias("tenant_id"), "source_type", F.lit(classification).alias("classification"), groups.alias("allowed_group_ids"), none.alias("denied_group_ids")
+    )
+
+
 def missing_expected(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Expected documents that the corpus lacks."""
     return wanted.select("doc_id").distinct().join(docs.select("doc_id"), "doc_id", "left_anti")

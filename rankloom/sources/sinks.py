@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import datetime, timezone
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,15 +49,16 @@ def write_summary(summary: DataFrame, path: str, echo: dict | None = None) -> di
     return out
 
 
-def append_failure(path: str, error: Exception, **state: object) -> None:
-    """One more line of the driver's own log of failures, a local file."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "a") as f:
-        f.write(json.dumps({"failed_at": datetime.now(timezone.utc).isoformat(), **state, "error_type": type(error).__name__, "error": str(error)[:2000]}) + "\n")
+def append_failure(folder: str, error: Exception, **state: object) -> None:
+    """One more file in a folder of failures, on whichever file system the folder lies."""
+    now = datetime.now(timezone.utc).isoformat()
+    name = f"failure-{now.replace(':', '')}-{uuid.uuid4().hex[:8]}.json"
+    write_text(f"{folder.rstrip('/')}/{name}", json.dumps({"failed_at": now, **state, "error_type": type(error).__name__, "error": str(error)[:2000]}))
 
 
 def details(questions: DataFrame, fused: DataFrame) -> DataFrame:
-    """One row per question with its results in order as an array. fused: qid, rank, doc_id, chunk_key, source_type, title, score."""
+    """One row per question with its results in order as an array, and all columns of the questions, latencies among them. fused: qid, rank, doc_id, chunk_key, source_type,
+    title, score."""
     entry = F.struct("rank", "doc_id", "chunk_key", "source_type", "title", "score")
     lists = fused.groupBy("qid").agg(F.sort_array(F.collect_list(entry)).alias("ranked_documents"))
     out = questions.join(lists, "qid", "left")

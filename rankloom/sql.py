@@ -242,6 +242,7 @@ select doc_id || ':' || printf('%05d', chunk_id) as chunk_key, coalesce(title, '
 from cut join doc using (doc_id) left join acl on k = lower(trim(doc_id))""",
         "acl_join_defaults": f"""with {DOCS}, {ACL} select doc_id, coalesce(tenant_id, '') as tenant_id, coalesce(classification, '') as classification,
   array_to_string(coalesce(allowed, []), ',') as allowed, array_to_string(coalesce(denied, []), ',') as denied from doc left join acl on k = lower(trim(doc_id))""",
+        "acl_files_last_wins": f"with {ACL} select k as doc, tenant_id, classification, array_to_string(allowed, ',') as allowed, array_to_string(denied, ',') as denied from acl",
         "ingest_dedupe_last_wins": "select chunk_key, count(*) as times, max_by(contentHash, indexedAt) as content_hash, max(indexedAt) as indexed_at from chunks group by 1",
         "export_filler_quota": f"""{wanted}, usable as (
   select doc_id, source_type, doc_id in (select doc_id from wanted) as expected from doc where trim(doc_id) <> '' and trim(coalesce(text, '')) <> ''

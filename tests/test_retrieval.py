@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,5 +141,24 @@ def test_metrics_by_hand(spark):
     assert none["hit_at_1"] is None and none["mrr_at_10"] is None and none["questions_total"] == 1
 
 
-def test_p95_nearest_rank(spark):
-    assert spark.range(1, 501).select(metrics.p95("id")).collect()[0][0] == 475.0
+def test_nearest_rank(spark):
+    rng = random.Random(6)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, float(rng.randrange(40)), rng.random()])) for _ in range(3000)] + [("hot", float(i % 7)) for i in range(4000)] + [("none", None)]
+    df = spark.createDataFrame(data, "g string, v double")
+    for share in (0.95, 0.5, 1.0, 0.001):
+        want = {}
+        for g in {g for g, v in data if v is not None}:
+            values = sorted(v for x, v in data if x == g and v is not None)
+            want[g] = values[math.ceil(len(values) * share - 1e-9) - 1]
+        found = metrics.nearest_rank(df, ["g"], "v", share)
+        assert {r["g"]: r["v"] for r in found.collect()} == want
+    assert metrics.nearest_rank(spark.range(1, 501).select(F.lit("x").alias("g"), "id"), ["g"], "id").collect()[0]["id"] == 475.0
+    assert metrics.nearest_rank(df.limit(0), ["g"], "v").count() == 0
+    assert "percentile" not in found._jdf.queryExecution().toString()
+
+
+def test_metrics_without_questions(spark):
+    questions = spark.createDataFrame([], "qid string, question_type string, scope array<string>, expected array<string>, latency_ms double")
+    ranked = spark.createDataFrame([], "qid string, rank long, doc_id string, source_type string, tokens long")
+    got = metrics.evaluate(questions, ranked).collect()
+    assert [(r["slice_kind"], r["questions_total"], r["hit_at_1"], r["p95_latency_ms"]) for r in got] == [("overall", 0, None, 0.0)]

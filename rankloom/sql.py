@@ -98,7 +98,7 @@ cut as (
 )"""
 
 
-def _bm25(keyword: bool = False, scoped: bool = True) -> str:
+def _bm25(keyword: bool = False, scoped: bool = True, k: int = 10) -> str:
     question = _keywords("question") if keyword else "question"
     only = f"where {_variant('question', question)}" if keyword else ""
     scope = "a.scope" if scoped else "[]"
@@ -122,7 +122,7 @@ seen as (
   where c.doc_id is not null and score > 0 and {_visible(scope)}
 ), one as (select * from seen qualify row_number() over (partition by qid, doc_id order by score desc, chunk_key) = 1),
 ranked as (select *, row_number() over (partition by qid order by score desc, doc_id, chunk_key) as rank from one)
-select qid, rank, doc_id, chunk_key, score from ranked where rank <= 10
+select qid, rank, doc_id, chunk_key, score from ranked where rank <= {k}
 """
 
 
@@ -167,6 +167,16 @@ select qid, rank, doc_id, chunk_key, score from fused where rank <= {limit}
 
 FOUR = "case route when 'dense' then 75e-2 when 'bm25' then 5e-1 when 'keyword' then 125e-2 else 15e-1 end"
 
+PER = """
+per as (
+  select j.qid, any_value(j.question_type) as question_type, any_value(j.scope) as scope, any_value(len(j.expected) > 0) as evaluable, any_value(latency_ms) as latency_ms,
+    coalesce(min(r.rank) filter (list_contains(j.expected, r.doc_id)), -1) as first_rank,
+    count(distinct r.doc_id) filter (r.rank <= 10 and list_contains(j.expected, r.doc_id)) = any_value(len(j.expected)) as complete,
+    coalesce(bool_or(len(j.scope) > 0 and not coalesce(list_contains(j.scope, r.source_type), false)) filter (r.qid is not null), false) as violated,
+    cast(coalesce(sum(r.tokens) filter (r.rank <= 10), 0) as bigint) as context_tokens
+  from judged j left join ranked r on r.qid = j.qid group by j.qid
+)"""
+
 JUDGED = f"""
 with fused_all as ({_fused('true', FOUR, 10, 50)}), {ASKED}, {CHUNKS},
 runs as (
@@ -177,14 +187,61 @@ runs as (
   select f.qid, f.rank, lower(trim(f.doc_id)) as doc_id, f.chunk_key, c.source as source_type,
     len(regexp_extract_all(lower(c.title || chr(10) || c.text), '{TOKEN}')) as tokens
   from fused_all f left join chunk c using (chunk_key)
-), per as (
-  select j.qid, any_value(j.question_type) as question_type, any_value(j.scope) as scope, any_value(len(j.expected) > 0) as evaluable, any_value(latency_ms) as latency_ms,
-    coalesce(min(r.rank) filter (list_contains(j.expected, r.doc_id)), -1) as first_rank,
-    count(distinct r.doc_id) filter (r.rank <= 10 and list_contains(j.expected, r.doc_id)) = any_value(len(j.expected)) as complete,
-    coalesce(bool_or(len(j.scope) > 0 and not coalesce(list_contains(j.scope, r.source_type), false)) filter (r.qid is not null), false) as violated,
-    cast(coalesce(sum(r.tokens) filter (r.rank <= 10), 0) as bigint) as context_tokens
-  from judged j left join ranked r on r.qid = j.qid group by j.qid
-)"""
+), {PER}"""
+
+
+def _letters(text: str) -> str:
+    return f"list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: length(lower({text})) - length(replace(lower({text}), c, '')))"
+
+
+# The docs table in two deliveries: of every chunk key the row of the later one.
+INGESTED = f"""
+with recursive half as (select floor((min(line_no) + max(line_no)) / 2) as h from docs),
+given as (
+  select case when line_no <= h then 1 else 2 end as part, docs.* from docs, half where doc_id is not null
+  qualify row_number() over (partition by doc_id, line_no <= h order by line_no desc) = 1
+), {ACL}, {_cuts("select part || ':' || doc_id as doc_id, " + _clean('text') + " as cleaned from given", 1200, 200)},
+made as (
+  select g.doc_id, g.doc_id || ':' || printf('%05d', chunk_id) as chunk_key, part, coalesce(source_type, 'unknown') as source_type, coalesce(title, '') || chr(10) || text_content as passage,
+    sha256(text_content) as content_hash from cut c join given g on c.doc_id = part || ':' || g.doc_id
+), last as (select * from made qualify row_number() over (partition by chunk_key order by part desc) = 1)
+select chunk_key, doc_id, source_type, coalesce(tenant_id, '') as tenant_id, content_hash, sha256(array_to_string({_letters('passage')}, ',')) as vector_hash
+from last left join acl on k = lower(trim(doc_id))"""
+
+
+def _three_routes() -> str:
+    """Letter vectors, BM25 and BM25 on keywords, fused by weights and measured."""
+    dense = f"""
+with {ASKED}, {CHUNKS}, v as (select *, cast({_letters("title || chr(10) || text")} as double[]) as w from chunk where doc_id is not null),
+q as (select qid, scope, cast({_letters('question')} as double[]) as w from asked),
+pairs as (
+  select qid, c.doc_id, c.chunk_key, round(list_cosine_similarity(q.w, c.w), 6) as score from q, v c
+  where list_sum(q.w) > 0 and list_sum(c.w) > 0 and {_visible('q.scope')}
+), near as (select * from pairs qualify row_number() over (partition by qid order by score desc, doc_id, chunk_key) <= 500),
+one as (select * from near qualify row_number() over (partition by qid, doc_id order by score desc, chunk_key) = 1)
+select qid, row_number() over (partition by qid order by score desc, doc_id, chunk_key) as rank, doc_id, chunk_key, score from one qualify rank <= 50"""
+    return f"""
+with dense_r as ({dense}), bm25_r as ({_bm25(k=50)}), keyword_r as ({_bm25(keyword=True, k=50)}),
+every as (
+  select 0 as ord, 75e-2 as weight, * from dense_r union all by name select 1 as ord, 5e-1 as weight, * from bm25_r union all by name select 2 as ord, 125e-2 as weight, * from keyword_r
+), single as (select qid, count(distinct ord) = 1 as single from every group by 1),
+sums as (
+  select qid, doc_id, round(sum(weight / (10e0 + rank)), 9) as score, min(row(ord, rank)) as first, min(rank) as rank1, min_by(chunk_key, row(ord, rank)) as chunk_key from every group by all
+), fused as (
+  select qid, doc_id, chunk_key, row_number() over (partition by qid order by case when single then rank1 end, score desc, first) as rank from sums join single using (qid)
+), {ASKED}, {CHUNKS}, judged as (select qid, question_type, scope, list_distinct(expected) as expected, cast(null as double) as latency_ms from asked),
+ranked as (
+  select f.qid, f.rank, f.doc_id, c.source as source_type, len(regexp_extract_all(lower(c.title || chr(10) || c.text), '{TOKEN}')) as tokens
+  from fused f join chunk c using (chunk_key) where f.rank <= 50
+), {PER}
+{_sliced()}"""
+
+
+def _sliced() -> str:
+    m = _measures()
+    return f"""select 'overall' as slice_kind, 'all' as slice, {m} from per
+union all select 'by_question_type', question_type, {m} from per group by 2
+union all select 'by_source_type', slice, {m} from (select *, unnest(case when len(scope) > 0 then scope else ['unknown'] end) as slice from per) group by 2"""
 
 
 def _measures() -> str:
@@ -281,6 +338,8 @@ fused as (
         "metrics_by_source": f"{JUDGED}, each as (select *, unnest(case when len(scope) > 0 then scope else ['unknown'] end) as slice from per) select slice, {_measures()} from each group by 1",
         "latency_p95": "select event_type, cast(percentile_disc(0.95) within group (order by value) as double) as p95, count(*) as n from events group by 1",
         "details_flat": f"{JUDGED} select r.qid, len(j.expected) > 0 as evaluable, r.rank, r.doc_id, r.chunk_key, r.source_type from ranked r join judged j on j.qid = r.qid",
+        "stream_ingest_resume": INGESTED,
+        "hybrid_three_routes": _three_routes(),
         "p7_found": P7_FOUND,
         "p7_report": f'select ref_table, period, reason, count(*) as "references", count(distinct doc_id) as keys from ({P7_FOUND}) group by 1, 2, 3',
     }

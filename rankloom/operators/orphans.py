@@ -1,8 +1,7 @@
 """References to records that do not exist at the time of the reference.
 
-Keys are numbered densely within hash ranges of at most 32,768 keys. For each range, the keys that each table refers to in each month form a bitmap, and so do the
-keys that exist throughout a month. Reference AND NOT parent leaves the bits of keys that may be orphans in that month; only
-those are decoded and checked against exact times.
+Keys fall into hash ranges. Within a range they are numbered, and the keys that each table refers to in each month form a compressed bitmap of these numbers, as do the
+keys that exist throughout a month. Reference AND NOT parent leaves the bits of keys that may be orphans in that month; only those are decoded and checked against exact times.
 """
 
 from __future__ import annotations
@@ -11,16 +10,42 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import normal_id
-from rankloom.shared import small, stored
-
-RANGE_KEYS = 32_768
-#: Ranges are filled to this mean, so that none exceeds RANGE_KEYS: the spread of a hash is about 150.
-MEAN_KEYS = 24_576
-SALTS = 8
+from rankloom.shared import HEAT_ROWS, heat_join, stored
+
+#: Keys of a range in the mean. Their spread by the hash is about 150, so numbers fit 16 bits.
+RANGE_KEYS = 24_576
+
+
+class Bitmap:
+    """A set of numbers below ``size`` as whichever of three containers is smallest: a sorted array, runs, or plain bits."""
+
+    def __init__(self, numbers: np.ndarray, size: int):
+        at = np.unique(numbers).astype(np.uint16 if size <= 1 << 16 else np.uint32)
+        self.size = size
+        first = np.flatnonzero(np.concatenate([[True], np.diff(at.astype(np.int64)) != 1])) if len(at) else np.zeros(0, np.int64)
+        width = at.itemsize
+        self.kind = min((len(at) * width, "array"), (2 * len(first) * width, "runs"), (-(-size // 8), "bits"))[1]
+        if self.kind == "array":
+            self.data = at
+        elif self.kind == "runs":
+            self.data = np.stack([at[first], at[np.append(first[1:], len(at)) - 1]])
+        else:
+            mask = np.zeros(size, bool)
+            mask[at] = True
+            self.data = np.packbits(mask)
+
+    def numbers(self) -> np.ndarray:
+        if self.kind == "array":
+            return self.data.astype(np.int64)
+        if self.kind == "runs":
+            first, last = self.data.astype(np.int64)
+            sizes = last - first + 1
+            return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return np.flatnonzero(np.unpackbits(self.data, count=self.size))
 
 
 def _month(at: Column) -> Column:
@@ -37,29 +62,35 @@ def references(table_name: str, df: DataFrame, ref_id: Column, keys: Column, at:
 
 def _gaps(parents: DataFrame, removed: DataFrame) -> DataFrame:
     """key, gone, back: times from a deletion to the next arrival of the key (null: none). Deletions that end alike are one, from the first."""
-    later = parents.join(small(removed), "key").filter(F.col("at") > F.col("gone")).groupBy("key", "gone").agg(F.min("at").alias("back"))
-    spans = removed.join(later.withColumnRenamed("key", "_k").withColumnRenamed("gone", "_g"), (F.col("key") == F.col("_k")) & (F.col("gone") == F.col("_g")), "left")
+    later = heat_join(parents, removed, ["key"]).filter(F.col("at") > F.col("gone")).groupBy("key", "gone").agg(F.min("at").alias("back"))
+    spans = removed.distinct().join(later, ["key", "gone"], "left")
     return spans.groupBy("key", "back").agg(F.min("gone").alias("gone"))
 
 
 def _survivors(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one key range: for every table and month the bits of references AND NOT the keys that exist all month."""
-    bits = {(k, t, m): np.frombuffer(b, np.uint8) for k, t, m, b in zip(pdf["kind"], pdf["ref_table"], pdf["month"], pdf["bits"], strict=True)}
-    begin = sorted((m, b) for (k, _, m), b in bits.items() if k == "begin")
-    gap = {m: b for (k, _, m), b in bits.items() if k == "gap"}
-    alive, i, out = np.zeros(RANGE_KEYS // 8, np.uint8), 0, []
-    for (_, t, m), b in sorted(((key, b) for key, b in bits.items() if key[0] == "ref"), key=lambda x: (x[0][2], x[0][1])):
+    """Of one key range: for every table and month the keys of references AND NOT the keys that exist all month. pdf: key, kind, ref_table, month."""
+    codes, keys = pd.factorize(pdf["key"])
+    size = len(keys)
+    maps = {name: Bitmap(codes[rows], size) for name, rows in pdf.groupby(["kind", "ref_table", "month"]).indices.items()}
+    begin = sorted(((m, b) for (k, _, m), b in maps.items() if k == "begin"), key=lambda x: x[0])
+    gap = {m: b for (k, _, m), b in maps.items() if k == "gap"}
+    alive, i, out = np.zeros(size, bool), 0, []
+    for (_, t, m), b in sorted(((name, b) for name, b in maps.items() if name[0] == "ref"), key=lambda x: (x[0][2], x[0][1])):
         while i < len(begin) and begin[i][0] <= m:
-            alive = alive | begin[i][1]
+            alive[begin[i][1].numbers()] = True
             i += 1
-        there = alive & ~gap[m] if m in gap else alive
-        left = np.flatnonzero(np.unpackbits(b & ~there, bitorder="little"))
+        there = alive
+        if m in gap:
+            there = alive.copy()
+            there[gap[m].numbers()] = False
+        at = b.numbers()
+        left = at[~there[at]]
         if len(left):
-            out.append((int(pdf["range"].iloc[0]), t, m, left.astype(np.int64)))
-    return pd.DataFrame(out, columns=["range", "ref_table", "month", "positions"])
+            out.append(pd.DataFrame({"ref_table": t, "month": m, "doc_id": keys[left]}))
+    return pd.concat(out) if out else pd.DataFrame({"ref_table": [], "month": [], "doc_id": []})
 
 
-def orphans(refs: list[DataFrame], parents: DataFrame, removed: DataFrame) -> DataFrame:
+def orphans(refs: list[DataFrame], parents: DataFrame, removed: DataFrame, range_keys: int = RANGE_KEYS, least: int = HEAT_ROWS) -> DataFrame:
     """ref_table, ref_id, doc_id, period, reason of references whose key is not there at their time; one row per combination.
 
     refs: tables made by ``references``. parents: key, at: every arrival of a record. removed: key, gone: deletions. Keys compare without blanks around and case.
@@ -74,11 +105,8 @@ def orphans(refs: list[DataFrame], parents: DataFrame, removed: DataFrame) -> Da
     # A hot key is one row per table and month from here on.
     asked = all_refs.groupBy("doc_id", "ref_table", _month(F.col("at")).alias("month")).agg(F.count(F.lit(1)).alias("n")).drop("n")
     first = parents.groupBy("key").agg(F.when(F.count("at") < F.count(F.lit(1)), F.lit(None)).otherwise(F.min("at")).alias("first"))
-    keys = asked.select(F.col("doc_id").alias("key")).union(first.select("key")).distinct()
-    ranges = max(1, -(-int(keys.agg(F.approx_count_distinct("key", 0.02)).collect()[0][0] * 1.05) // MEAN_KEYS))
-    numbered = keys.withColumn("range", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int"))
-    position = F.row_number().over(Window.partitionBy("range").orderBy("key")) - 1
-    book = stored(numbered.withColumn("position", position.cast("bigint")), "dictionary")
+    keys = asked.select(F.col("doc_id").alias("key")).union(first.select("key"))
+    ranges = max(1, -(-int(keys.agg(F.approx_count_distinct("key", 0.02)).collect()[0][0] * 1.05) // range_keys))
     gaps = stored(_gaps(parents, removed), "gaps")
     limits = all_refs.agg(F.min(_month(F.col("at"))), F.max(_month(F.col("at")))).collect()[0]
     low, high = (limits[0] or 0), (limits[1] or 0)
@@ -88,23 +116,20 @@ def orphans(refs: list[DataFrame], parents: DataFrame, removed: DataFrame) -> Da
     a, b = F.greatest(_month(F.col("gone")), F.lit(low)), F.least(F.coalesce(_month(F.col("back")), F.lit(high)), F.lit(high))
     gap = gaps.filter(a <= b).select("key", F.lit("gap").alias("kind"), F.lit("").alias("ref_table"), F.explode(F.sequence(a, b)).alias("month"))
     ref = asked.filter("month is not null").select(F.col("doc_id").alias("key"), F.lit("ref").alias("kind"), "ref_table", "month")
-    marks = ref.unionByName(begin).unionByName(gap).join(book, "key")
-    maps = marks.groupBy("range", "kind", "ref_table", "month").agg(F.bitmap_construct_agg(F.col("position")).alias("bits"))
-    left = maps.groupBy("range").applyInPandas(_survivors, "range int, ref_table string, month int, positions array<bigint>")
-    left = left.select("range", "ref_table", "month", F.explode("positions").alias("position")).join(book, ["range", "position"]).select("ref_table", "month", F.col("key").alias("doc_id"))
+    # Each key, table and month is one row by now, so that ranges are alike in size; they move once.
+    marks = ref.unionByName(begin).unionByName(gap).withColumn("range", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int"))
+    left = marks.groupBy("range").applyInPandas(lambda pdf: _survivors(pdf), "ref_table string, month int, doc_id string")
     # References without time stand in no month's bitmap; only a key that never arrives concerns them.
     untimed = asked.filter("month is null").join(first.select(F.col("key").alias("doc_id")), "doc_id", "left_anti").select("ref_table", "month", "doc_id")
     left = left.unionByName(untimed)
     doubtful = left.join(first.withColumn("there", F.lit(True)), left["doc_id"] == first["key"], "left").drop("key")
-    salted = doubtful.select(F.col("ref_table").alias("_t"), F.col("month").alias("_m"), F.col("doc_id").alias("_d"), "first", "there", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
-    rows = all_refs.withColumn("_month", _month(F.col("at"))).withColumn("_salt", F.pmod(F.xxhash64("ref_id"), F.lit(SALTS)).cast("int"))
-    checked = rows.join(
-        salted, (F.col("ref_table") == F.col("_t")) & F.col("_month").eqNullSafe(F.col("_m")) & (F.col("doc_id") == F.col("_d")) & (F.col("_salt") == F.col("_s"))
-    ).select("ref_table", "ref_id", "doc_id", "period", "at", "first", "there")
+    doubtful = stored(doubtful.withColumn("month", F.coalesce("month", F.lit(-1))), "doubtful")
+    rows = all_refs.withColumn("month", F.coalesce(_month(F.col("at")), F.lit(-1)))
+    checked = heat_join(rows, doubtful, ["ref_table", "month", "doc_id"], least=least).select("ref_table", "ref_id", "doc_id", "period", "at", "first", "there")
     reason = F.when(F.col("there").isNull(), "missing").when(F.col("first") > F.col("at"), "late")
     checked = checked.withColumn("reason", reason).distinct()
     sure = checked.filter("reason is not null")
-    rest = checked.filter("reason is null").join(gaps, F.col("doc_id") == F.col("key"))
+    rest = heat_join(checked.filter("reason is null"), gaps.withColumnRenamed("key", "doc_id"), ["doc_id"], least=least)
     gone = rest.filter((F.col("gone") <= F.col("at")) & (F.col("back").isNull() | (F.col("at") < F.col("back")))).withColumn("reason", F.lit("deleted"))
     names = ["ref_table", "ref_id", "doc_id", "period", "reason"]
     return sure.select(*names).unionByName(gone.select(*names)).distinct()

@@ -102,6 +102,31 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if fits(df, limit) else df
 
 
+#: A key with no more rows than this is left to one task whatever the table's size.
+HEAT_ROWS = 50_000
+
+
+def heat_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", least: int = HEAT_ROWS, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """left joined with right on equal keys, however hot a key of the left side is. how: inner, left, left_semi or left_anti.
+
+    A right side whose bytes are few is broadcast. Else left keys are counted, and one with more than ``bound`` rows is dealt to as many salts as it needs by a hash of its rows; the right
+    rows of such a key are copied once per salt. bound is at least a quarter of a task's fair share, so there are at most four hot keys per task and their list is
+    bounded. Null keys meet nothing.
+    """
+    if fits(right, limit):
+        return left.join(F.broadcast(right), keys, how)
+    spark = left.sparkSession
+    bound = max(least, left.count() // (4 * partitions(spark)))
+    hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > bound).select(*keys, F.ceil(F.col("_n") / bound).cast("int").alias("_salts")).collect()
+    if not hot:
+        return left.join(right, keys, how)
+    mark = F.broadcast(spark.createDataFrame(hot, left.select(*keys, F.lit(0).alias("_salts")).schema))
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = left.join(mark, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int")).drop("_salts")
+    copied = right.join(mark, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

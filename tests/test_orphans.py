@@ -1,10 +1,12 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from rankloom.operators import orphans
 from rankloom.operators.current import current_rows
+from rankloom.shared import heat_join
 
 REF = "id string, keys array<string>, at timestamp_ntz"
 ONE = "id string, key string, at timestamp_ntz"
@@ -32,15 +34,37 @@ def brute(refs, parents, removed):
     return out
 
 
-def run(spark, lists, singles, parents, removed):
+def run(spark, lists, singles, parents, removed, **more):
     refs = [
         orphans.references("questions", spark.createDataFrame(lists, REF), F.col("id"), F.col("keys"), F.col("at")),
         orphans.references("acl_docs", spark.createDataFrame(singles, ONE), F.col("id"), F.col("key"), F.col("at")),
     ]
-    found = orphans.orphans(refs, spark.createDataFrame(parents, "key string, at timestamp_ntz"), spark.createDataFrame(removed, "key string, gone timestamp_ntz"))
+    found = orphans.orphans(refs, spark.createDataFrame(parents, "key string, at timestamp_ntz"), spark.createDataFrame(removed, "key string, gone timestamp_ntz"), **more)
     return found, brute([("questions", *r) for r in lists] + [("acl_docs", i, [k], at) for i, k, at in singles], parents, removed)
 
 
+def test_bitmaps():
+    rng = np.random.default_rng(1)
+    kinds = set()
+    for size in (1, 9, 24_576, 70_000):
+        for numbers in ([], [0], range(size), range(size // 3, size // 2), rng.integers(0, size, size), rng.integers(0, size, 1 + size // 50)):
+            b = orphans.Bitmap(np.array(list(numbers), np.int64), size)
+            kinds.add(b.kind)
+            assert b.numbers().tolist() == sorted(set(map(int, numbers))) and b.data.nbytes <= -(-size // 8)
+    assert kinds == {"array", "runs", "bits"}
+
+
+def test_heat_join(spark):
+    rng = random.Random(3)
+    left = [(rng.choice(["hot", "hot", "a", "b", None]), i) for i in range(600)]
+    right = [("hot", "x"), ("hot", "y"), ("a", "z"), (None, "n"), ("c", "w")]
+    ldf, rdf = spark.createDataFrame(left, "k string, i int"), spark.createDataFrame(right, "k string, v string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        want = sorted(map(tuple, ldf.join(rdf, "k", how).collect()), key=repr)
+        for limit in (0, 1 << 20):
+            assert sorted(map(tuple, heat_join(ldf, rdf, ["k"], how, 20, limit).collect()), key=repr) == want
+
+
 def test_random_tables_against_brute_force(spark):
     rng = random.Random(4)
     day = lambda: datetime(2025, 1, 1) + timedelta(hours=rng.randrange(24 * 150))
@@ -49,7 +73,7 @@ def test_random_tables_against_brute_force(spark):
     singles = [(str(i), rng.choice([key(), None, ""]), day()) for i in range(150)]
     parents = [(key(), day() if rng.random() > 0.03 else None) for _ in range(60)]
     removed = [(key(), day() if rng.random() > 0.1 else None) for _ in range(30)]
-    found, want = run(spark, lists + lists[:5], singles, parents, removed)
+    found, want = run(spark, lists + lists[:5], singles, parents, removed, range_keys=10, least=20)
     got = [tuple(r) for r in found.collect()]
     assert set(got) == want and len(got) == len(want)
     assert {r[-1] for r in want} == {"missing", "late", "deleted"}

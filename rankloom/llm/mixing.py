@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from rankloom.functions.text import normal_id, token_count
-from rankloom.shared import small
+from rankloom.shared import heat_join, stored
 
 
 def capped_mean(lam: float, most: int) -> float:
@@ -66,16 +66,21 @@ class Mix:
     copies: DataFrame
 
     def report(self) -> DataFrame:
-        """Reached shares per plan and source; a source without documents or copies stays with zeros."""
+        """Reached shares per plan and source; a source without documents or copies stays with zeros.
+
+        ``short`` is read off the copies: every document of the source was repeated as often as allowed, and that is still less than needed.
+        """
         got = self.copies.groupBy("plan_id", "source").agg(
             F.count(F.lit(1)).alias("documents_used"), F.sum("copies").alias("copies"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens_reached"), F.max("copies").alias("most_copies")
         )
         per_plan = got.groupBy("plan_id").agg(F.sum("tokens_reached").alias("plan_tokens"))
         zero = F.lit(0).cast("bigint")
-        out = self.plan.select("plan_id", "source", "target_share", "max_repeats", "needed_tokens", "source_tokens", "short").join(got, ["plan_id", "source"], "left")
+        out = self.plan.select("plan_id", "source", "target_share", "max_repeats", "needed_tokens", "source_tokens").join(got, ["plan_id", "source"], "left")
         out = out.join(per_plan, "plan_id", "left")
+        reached = F.coalesce("tokens_reached", zero)
+        spent = (reached == F.col("max_repeats") * F.col("source_tokens")) & (F.col("needed_tokens") > reached.cast("double"))
         return out.select(
-            "plan_id", "source", "target_share", "max_repeats", "needed_tokens", "source_tokens", "short",
+            "plan_id", "source", "target_share", "max_repeats", "needed_tokens", "source_tokens", spent.alias("short"),
             *[F.coalesce(c, zero).cast("bigint").alias(c) for c in ("documents_used", "copies", "most_copies", "tokens_reached")],
             F.coalesce(F.col("tokens_reached") / F.col("plan_tokens"), F.lit(0.0)).alias("actual_share"),
         )
@@ -116,10 +121,11 @@ def mix(docs: DataFrame, targets: DataFrame, tokens: Column | None = None, seed:
     )
     plan = wanted.join(stats, "_key", "left").withColumn("source_tokens", F.coalesce("source_tokens", F.lit(0)).cast("bigint"))
     plan = plan.withColumn("needed_tokens", F.col("target_share") * F.col("size_factor") * F.lit(float(everything)))
-    plan = plan.withColumn("short", F.col("needed_tokens") > (F.col("max_repeats") * F.col("source_tokens")).cast("double"))
     plan = plan.withColumn("rate", F.when(F.col("source_tokens") > 0, F.col("needed_tokens") / F.col("source_tokens")).otherwise(0.0))
-    rates = small(plan.select("plan_id", "source", "_key", _thresholds("rate", "max_repeats").alias("_steps")))
-    chance = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "plan_id", "doc_id"), 11)).cast("double") / float(2**53)
-    drawn = sized.join(rates, "_key").withColumn("_u", chance)
+    steps = stored(plan.select("plan_id", "source", "_key", _thresholds("rate", "max_repeats").alias("_steps")), "steps")
+    # One number a plan, so that plans draw apart; a source that holds a third of all documents is split over tasks where the plan is too large to be broadcast.
+    number = F.concat_ws(":", F.lit(seed), "plan_id", "doc_id")
+    chance = F.conv(F.substring(F.md5(number), 1, 13), 16, 10).cast("bigint").cast("double") / float(2**52)
+    drawn = heat_join(sized, steps, ["_key"]).withColumn("_u", chance)
     copies = drawn.withColumn("copies", F.size(F.filter("_steps", lambda x: x <= F.col("_u"))).cast("bigint")).filter("copies > 0")
     return Mix(plan.drop("_key"), copies.select("plan_id", "source", "doc_id", "tokens", "copies"))

@@ -52,6 +52,42 @@ select plan_id, m.source from mix_targets m left join per on lower(trim(m.source
 where target_share * size_factor * cast(every.n as double) > max_repeats * cast(coalesce(per.n, 0) as double)"""
 
 
+# The whole draw: Poisson means by bisection, thresholds, and a number from an MD5 for each plan and document.
+COPIES = f"""
+with recursive sized as (select doc_id, lower(trim(source)) as k, {_count('text')} as tokens from documents where trim(source) <> ''),
+per as (select k, sum(tokens) as n from sized group by 1), every as (select coalesce(sum(tokens), 0) as n from sized),
+plan as (
+  select plan_id, m.source, lower(trim(m.source)) as k, target_share, max_repeats, target_share * size_factor * cast(every.n as double) as needed_tokens, cast(coalesce(per.n, 0) as bigint) as source_tokens
+  from mix_targets m left join per on lower(trim(m.source)) = per.k, every
+), rates as (
+  select plan_id, source, max_repeats as m, case when source_tokens > 0 then needed_tokens / source_tokens else 0e0 end as rate from plan
+), halves as (
+  select plan_id, source, m, rate, rate as low, 64e0 * (m + 1) as high, 0 as step from rates where rate > 0 and rate < m
+  union all
+  select plan_id, source, m, rate, case when mean < rate then mid else low end, case when mean < rate then high else mid end, step + 1 from (
+    select *, (low + high) / 2 as mid, m - list_sum(list_transform(range(m), lambda j: (m - j) * exp(j * ln((low + high) / 2) - (low + high) / 2 - lgamma(j + 1)))) as mean from halves where step < 80)
+), lambdas as (select plan_id, source, high as lam from halves where step = 80),
+limits as (
+  select r.plan_id, r.source, lower(trim(r.source)) as k, case when rate >= m and m > 0 then list_transform(range(m), lambda j: 0e0)
+    when rate > 0 and m > 0 then list_transform(range(m), lambda j: list_sum(list_transform(range(j + 1), lambda i: exp(i * ln(lam) - lam - lgamma(i + 1)))))
+    else list_transform(range(m), lambda j: 1e0) end as steps
+  from rates r left join lambdas using (plan_id, source)
+), copies as (
+  select plan_id, source, doc_id, tokens,
+    len(list_filter(steps, lambda x: x <= cast(('0x' || substr(md5('0:' || plan_id || ':' || doc_id), 1, 13)) as bigint) / 4503599627370496e0)) as copies
+  from sized join limits using (k)
+), used as (select * from copies where copies > 0)"""
+
+MIXED = f"""{COPIES},
+got as (
+  select plan_id, source, count(*) as documents_used, sum(copies) as copies, sum(tokens * copies) as tokens_reached, max(copies) as most_copies from used group by all
+), whole as (select plan_id, sum(tokens_reached) as n from got group by 1)
+select p.plan_id, p.source, target_share, max_repeats, needed_tokens, source_tokens, needed_tokens > cast(max_repeats * source_tokens as double) as short,
+  cast(coalesce(documents_used, 0) as bigint) as documents_used, cast(coalesce(copies, 0) as bigint) as copies, cast(coalesce(most_copies, 0) as bigint) as most_copies,
+  cast(coalesce(tokens_reached, 0) as bigint) as tokens_reached, coalesce(cast(tokens_reached as double) / cast(n as double), 0e0) as actual_share
+from plan p left join got using (plan_id, source) left join whole using (plan_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"with {FUSED} select run_id, qid, doc_id from fused qualify row_number() over (partition by run_id, qid order by fused desc, doc_id) = 1",
@@ -62,4 +98,5 @@ def oracle_sql() -> dict[str, str]:
 qualify row_number() over (partition by run_id, qid, route order by score desc, doc_id nulls first, chunk_id nulls first) <= 5""",
         "p8_found": f"select distinct doc_id from documents where {_count('text')} > 512",
         "p9_found": SHORT,
+        "p9_report": MIXED,
     }

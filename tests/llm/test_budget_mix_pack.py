@@ -76,7 +76,7 @@ TARGETS = "plan_id string, source string, target_share double, max_repeats int,
 
 def test_mix(spark):
     rng = random.Random(3)
-    docs = [(i, rng.choice(["A", " a ", "b", "B"]) if i % 3 else "c", " ".join(["w"] * rng.randrange(1, 30))) for i in range(3000)]
+    docs = [(i, rng.choice(["A", " a ", "b", "B"]) if i % 3 else "c", " ".join(["w"] * rng.randrange(1, 30))) for i in range(12000)]
     docs += [(90001, None, "w w"), (90002, " ", "w"), (90003, "a", None), (90004, "tiny", "w w w")]
     targets = [("p", "a", 0.5, 4, 1.0, 1), ("p", "B ", 0.3, 1, 1.0, 1), ("p", "C", 0.1, 2, 1.0, 1), ("p", "tiny", 0.05, 3, 1.0, 1), ("p", "none", 0.05, 3, 1.0, 1), ("q", "c", 1.0, 9, 0.2, 1)]
     m = mixing.mix(spark.createDataFrame(docs, DOCS), spark.createDataFrame(targets, TARGETS))
@@ -102,6 +102,21 @@ def test_mix(spark):
     assert [tuple(r) for r in mixing.mix(spark.createDataFrame(docs, DOCS), spark.createDataFrame(targets, TARGETS)).sequence().collect()] == [tuple(r) for r in order]
 
 
+def test_short_rows_come_from_the_draw(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "w w w") for i in range(40)], DOCS)
+    targets = spark.createDataFrame([("p", "a", 0.9, 1, 1.0, 1), ("p", "b", 0.1, 1, 1.0, 1)], TARGETS)
+    found = mixing.mix(docs, targets).report().filter("short").select("plan_id", "source")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Both the thresholds' join and the counts that the draw made are in the plan.
+    assert "md5(" in plan and "_steps" in plan and plan.count("Join") >= 2
+    assert [tuple(r) for r in found.collect()] == [("p", "a")]
+    # A large plan and a hot source: the join is salted instead of broadcast, with the same rows.
+    want = sorted(map(tuple, mixing.mix(docs, targets).copies.collect()))
+    join = mixing.heat_join
+    monkeypatch.setattr(mixing, "heat_join", lambda a, b, keys: join(a, b, keys, least=5, limit=0))
+    assert sorted(map(tuple, mixing.mix(docs, targets).copies.collect())) == want
+
+
 def test_mix_empty(spark):
     targets = spark.createDataFrame([("p", "a", 0.5, 2, 1.0, 1), ("p", "a", None, None, None, 1)], TARGETS)
     m = mixing.mix(spark.createDataFrame([], DOCS), targets)

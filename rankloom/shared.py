@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, StringType, StructField, StructType
 
 #: A side is broadcast only after its bytes were summed and found to be no more than this.
 BROADCAST_BYTES = 16 << 20
@@ -106,25 +106,34 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 HEAT_ROWS = 50_000
 
 
-def heat_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", least: int = HEAT_ROWS, limit: int = BROADCAST_BYTES) -> DataFrame:
+def heat_join(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", least: int = HEAT_ROWS, limit: int = BROADCAST_BYTES, nulls: bool = False
+) -> DataFrame:
     """left joined with right on equal keys, however hot a key of the left side is. how: inner, left, left_semi or left_anti.
 
     A right side whose bytes are few is broadcast. Else left keys are counted, and one with more than ``bound`` rows is dealt to as many salts as it needs by a hash of its rows; the right
     rows of such a key are copied once per salt. bound is at least a quarter of a task's fair share, so there are at most four hot keys per task and their list is
-    bounded. Null keys meet nothing.
+    bounded. Null keys meet nothing, or with ``nulls`` each other. Other columns of the two sides must differ in name.
     """
+
+    def meet(a: DataFrame, b: DataFrame, names: list[str], kind: str) -> DataFrame:
+        """b's columns of these names are not kept."""
+        other = b.withColumnsRenamed({n: f"_right_{n}" for n in names})
+        test = [a[n].eqNullSafe(other[f"_right_{n}"]) if nulls else a[n] == other[f"_right_{n}"] for n in names]
+        return a.join(other, reduce(lambda x, y: x & y, test), kind).drop(*[f"_right_{n}" for n in names])
+
     if fits(right, limit):
-        return left.join(F.broadcast(right), keys, how)
+        return meet(left, F.broadcast(right), keys, how)
     spark = left.sparkSession
     bound = max(least, left.count() // (4 * partitions(spark)))
     hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > bound).select(*keys, F.ceil(F.col("_n") / bound).cast("int").alias("_salts")).collect()
     if not hot:
-        return left.join(right, keys, how)
-    mark = F.broadcast(spark.createDataFrame(hot, left.select(*keys, F.lit(0).alias("_salts")).schema))
+        return meet(left, right, keys, how)
+    mark = F.broadcast(spark.createDataFrame(hot, StructType([*left.select(*keys).schema, StructField("_salts", IntegerType())])))
     salts = F.coalesce("_salts", F.lit(1))
-    dealt = left.join(mark, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int")).drop("_salts")
-    copied = right.join(mark, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
+    dealt = meet(left, mark, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int")).drop("_salts")
+    copied = meet(right, mark, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return meet(dealt, copied, [*keys, "_salt"], how).drop("_salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -63,6 +63,9 @@ def test_heat_join(spark):
         want = sorted(map(tuple, ldf.join(rdf, "k", how).collect()), key=repr)
         for limit in (0, 1 << 20):
             assert sorted(map(tuple, heat_join(ldf, rdf, ["k"], how, 20, limit).collect()), key=repr) == want
+    other = rdf.withColumnRenamed("k", "o")
+    want = sorted(map(tuple, ldf.join(other, ldf["k"].eqNullSafe(other["o"])).select("k", "i", "v").collect()), key=repr)
+    assert sorted(map(tuple, heat_join(ldf, rdf, ["k"], "inner", 20, 0, nulls=True).collect()), key=repr) == want
 
 
 def test_random_tables_against_brute_force(spark):

@@ -13,13 +13,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import TOKEN_PATTERN
 
-#: Texts of a shard: what one task holds in memory at a time.
-SHARD_TEXTS = 4096
+#: Texts and characters of a shard in the mean: what one task holds in memory at a time.
+SHARD_TEXTS, SHARD_CHARS = 4096, 16_000_000
 K1, B = 1.2, 0.75
 #: A term in more than one of so many texts is frequent: its whole row holds at most so many times its impacts.
 FREQUENT = 16
@@ -28,20 +29,19 @@ FREQUENT = 16
 class Bm25Index:
     """Inverted index of one shard: for each term its texts and their BM25 impacts, in two flat arrays."""
 
-    def __init__(self, texts: list[list[str]]):
-        terms: dict[str, int] = {}
-        rows, cols, counts = [], [], []
-        lengths = np.zeros(len(texts), np.float32)
-        for i, words in enumerate(texts):
-            lengths[i] = len(words)
-            for w, n in Counter(words).items():
-                rows.append(terms.setdefault(w, len(terms)))
-                cols.append(i)
-                counts.append(n)
-        row, col, tf = np.asarray(rows, np.int32), np.asarray(cols, np.int32), np.asarray(counts, np.float32)
-        order = np.argsort(row, kind="stable")
-        self.texts, tf, row = col[order], tf[order], row[order]
-        self.start = np.searchsorted(row, np.arange(len(terms) + 1))
+    def __init__(self, texts: list):
+        """texts: of each text its terms, as words or as numbers."""
+        known: dict = {}
+        coded = [t if isinstance(t, np.ndarray) else np.array([known.setdefault(w, len(known)) for w in t], np.int64) for t in texts]
+        lengths = np.array([len(t) for t in coded], np.float32)
+        flat = np.concatenate([np.zeros(0, np.int64), *coded])
+        number, row = np.unique(flat, return_inverse=True)
+        terms = len(number)
+        # One place for each term and text, in order of term, then text.
+        place, tf = np.unique(row.astype(np.int64) * len(texts) + np.repeat(np.arange(len(texts)), lengths.astype(np.int64)), return_counts=True)
+        row, col, tf = (place // max(1, len(texts))).astype(np.int32), (place % max(1, len(texts))).astype(np.int32), tf.astype(np.float32)
+        self.texts = col
+        self.start = np.searchsorted(row, np.arange(terms + 1))
         df = np.diff(self.start).astype(np.float32)
         idf = np.log1p((len(texts) - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / max(1e-9, float(lengths.mean()) if len(texts) else 1.0))
@@ -54,7 +54,7 @@ class Bm25Index:
         # Frequent terms also as whole rows, which add up faster than scattered impacts.
         often = np.flatnonzero(df > len(texts) / FREQUENT)
         self.whole = np.zeros((len(often), len(texts)), np.float32)
-        self.place = np.full(len(terms), -1, np.int64)
+        self.place = np.full(terms, -1, np.int64)
         self.place[often] = np.arange(len(often))
         hold = self.place[row]
         self.whole[hold[hold >= 0], self.texts[hold >= 0]] = self.impact[hold >= 0]
@@ -114,26 +114,28 @@ def pack_shard(sizes: np.ndarray, index: Bm25Index, capacity: int) -> np.ndarray
     return container
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 512, shard_texts: int = SHARD_TEXTS) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 512, shard_texts: int = SHARD_TEXTS, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """Every text's container: key, piece, pieces, tokens, shard, container.
 
     Sizes are tokens of the project. A text of more than ``capacity`` tokens is cut after each ``capacity`` tokens; its full pieces are containers of their own and its rest is packed like a
     text. No other text is split. Null and empty texts have no tokens and go into containers like others; rows without key are dropped; rows with equal keys are packed
-    each. (shard, container) names a container. Shards hold about ``shard_texts`` texts, chosen by a hash of the key, so their number follows the table
-    and no task holds more than one shard. All distinct terms of a seed query the index.
+    each. (shard, container) names a container. Shards hold about ``shard_texts`` texts and ``shard_chars`` characters at most in the mean, chosen by a hash of key and text, so their
+    number follows the table; every task holds one shard at a time, as numbers. All distinct terms of a seed query the index.
     """
-    if capacity <= 0 or shard_texts <= 0:
-        raise ValueError("capacity and shard_texts must be positive")
+    if capacity <= 0 or shard_texts <= 0 or shard_chars <= 0:
+        raise ValueError("capacity, shard_texts and shard_chars must be positive")
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    shards = max(1, -(-rows.count() // shard_texts))
+    count, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).collect()[0]
+    shards = max(1, -(-count // shard_texts), -(-chars // shard_chars))
     hashed = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "key", "text"), F.lit(shards)))
-    # One shuffle moves each text to its shard; tasks read whole shards, one after another.
-    together = hashed.repartition(min(shards, 20_000), "shard").sortWithinPartitions("shard")
+    # One shuffle moves each text to its shard, and every shard to a task of its own, or to the tasks in turn.
+    tasks = min(shards, 20_000)
+    together = hashed.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard")
     pattern = TOKEN_PATTERN
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = regex.compile(pattern)
+        find, known = regex.compile(pattern), {}
 
         def shard(rows: list[tuple]) -> pd.DataFrame:
             rows.sort(key=lambda r: (r[0], r[1]))
@@ -143,9 +145,9 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
             for i, (_, _, found) in enumerate(rows):
                 full = 0 if len(found) <= capacity else len(found) // capacity
                 rest = found[full * capacity :]
-                pieces.append(full + bool(rest or not full))
+                pieces.append(full + bool(len(rest) or not full))
                 out += [(i, p, capacity, -1) for p in range(full)]
-                if rest or not full:
+                if len(rest) or not full:
                     words.append(rest)
                     owner.append(i)
                     piece.append(full)
@@ -162,9 +164,9 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
             for k, t, s in batch[["key", "text", "shard"]].itertuples(index=False):
                 if s != now and held:
                     yield shard(held)
-                    held = []
+                    held, known = [], {}
                 now = s
-                held.append((k, t, find.findall(t.lower())))
+                held.append((k, xxhash.xxh3_64_intdigest(t.encode()), np.array([known.setdefault(w, len(known)) for w in find.findall(t.lower())], np.int32)))
         if held:
             yield shard(held)
 

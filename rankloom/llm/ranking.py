@@ -1,7 +1,7 @@
 """Ranks within groups of any size: fusion of differently scaled scores, and the best N of every group.
 
 Groups are split by exact counts. A group is *heavy* when it holds more rows than a quarter of a task's fair share, so
-there are at most ``4 * shuffle partitions`` heavy groups and their list may be broadcast. Heavy groups are sorted by range over many
+there are at most ``4 * shuffle partitions`` heavy groups and their list may be broadcast. Heavy groups are salted and sorted by range over many
 tasks; light ones go through ordinary windows.
 """
 
@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.shared import cut, partitions, same
+from rankloom.shared import cut, heat_join, partitions, same, stored
 
-HEAVY_ROWS = 50_000
+#: Groups of no more rows are light whatever the table's size; low, so that small tables take both ways too.
+HEAVY_ROWS = 2_000
 
 
 def heavy_groups(df: DataFrame, groups: list[str], least: int = HEAVY_ROWS) -> DataFrame | None:
@@ -62,7 +63,11 @@ def top_n(df: DataFrame, groups: list[str], score: str, ties: list[str], n: int,
 
     out = ranked(once(light))
     if hot is not None:
-        ranged = _by_range(once(hot), [*[F.col(g) for g in groups], *order])
+        # Salts first: of each salt's share of a heavy group only the n best can be among the group's. What is left is sorted by range.
+        share = Window.partitionBy(*groups, "_salt").orderBy(*order)
+        salted = once(hot).withColumn("_salt", F.pmod(F.xxhash64(*ties), F.lit(4 * partitions(df.sparkSession))))
+        leading = salted.withColumn("_place", F.row_number().over(share)).filter(F.col("_place") <= n).drop("_salt", "_place")
+        ranged = _by_range(leading, [*[F.col(g) for g in groups], *order])
         sizes = ranged.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"))
         before = F.sum("_n").over(Window.partitionBy(*groups).orderBy("_part")) - F.col("_n")
         # Only ranges that begin within the first n rows can hold a result: at most n of each heavy group.
@@ -87,14 +92,9 @@ def ranked_scores(df: DataFrame, groups: list[str], score: str, least: int = HEA
         meet = [ranged[g].eqNullSafe(sizes[f"_{g}"]) for g in groups]
         local = Window.partitionBy(*groups, "_part").orderBy(F.col(score).desc())
         placed = ranged.join(sizes, [*meet, ranged["_part"] == sizes["_p"]])
-        placed = placed.select(
-            *[F.col(g).alias(f"_{g}") for g in groups],
-            F.col(score).alias("_s"),
-            (F.sum("_n").over(local) - F.col("_n") + F.col("_before") + 1).cast("bigint").alias("rank"),
-        )
-        meet = [hot[g].eqNullSafe(placed[f"_{g}"]) for g in groups]
-        hot = hot.join(placed, [*meet, hot[score] == placed["_s"]]).drop("_s", *[f"_{g}" for g in groups])
-        out = out.unionByName(hot.select(*out.columns))
+        placed = stored(placed.select(*groups, score, (F.sum("_n").over(local) - F.col("_n") + F.col("_before") + 1).cast("bigint").alias("rank")), "ranks")
+        # One score may be that of a whole group: rows of such a score are dealt to many tasks.
+        out = out.unionByName(heat_join(hot, placed, [*groups, score], least=least, nulls=True).select(*out.columns))
     return out
 
 

@@ -157,6 +157,9 @@ def test_packing(spark):
     assert {r[0] for r in packing.split_texts(packed).collect()} == {i for i, t in enumerate(texts) if count(t) > 64}
     assert packing.container_report(packed, 64).agg(F.sum("containers")).collect()[0][0] == len(held)
     assert packing.pack(df.limit(0), capacity=64).count() == 0
+    # Long texts make more shards, and each shard is a task of its own.
+    many = packing.pack(df, capacity=64, shard_chars=9000)
+    assert many.select("shard").distinct().count() > 5 and many.withColumn("t", F.spark_partition_id()).groupBy("t").agg(F.countDistinct("shard").alias("n")).filter("n > 1").count() == 0
     with pytest.raises(ValueError):
         packing.pack(df, capacity=0)
 

@@ -83,3 +83,12 @@ def test_one_score_for_all(spark):
     df = spark.range(500).select(F.lit("q").alias("q"), F.col("id").cast("string").alias("doc"), F.lit(1.0).alias("score"))
     assert [r["doc"] for r in ranking.top_n(df, ["q"], "score", ["doc"], 3, 50).orderBy("rank").collect()] == ["0", "1", "10"]
     assert {r["rank"] for r in ranking.ranked_scores(df, ["q"], "score", 50).collect()} == {1}
+
+
+def test_tied_score_is_dealt_to_tasks(spark, monkeypatch):
+    join = ranking.heat_join
+    monkeypatch.setattr(ranking, "heat_join", lambda a, b, keys, **more: join(a, b, keys, limit=0, **more))
+    data = [(q, f"d{i}", float(i % 3 == 0)) for q in ("hot", None) for i in range(400)] + [("cold", "x", 2.0)]
+    df = spark.createDataFrame(data, "q string, doc string, score double")
+    got = {(r["q"], r["doc"]): r["rank"] for r in ranking.ranked_scores(df, ["q"], "score", 50).collect()}
+    assert got == {(q, d): (1 if s > 0 else 135) for q, d, s in data}

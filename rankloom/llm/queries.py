@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.functions.text import normal_id
 from rankloom.llm import language, markup, mixing, neardup, neighbours, packing, ranking, sql, token_budget
 from rankloom.operators.current import current_rows
 from rankloom.shared import table
 
 
+#: A public tokenizer's file; the query that uses it is there only if the file is.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused = ranking.fuse(table(spark, sf_dir, "hits"), ["run_id", "qid"], "route", "doc_id", "score")
     return ranking.first_of(fused, ["run_id", "qid"], "doc_id")
@@ -21,28 +28,59 @@ def p1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_n(fused, ["run_id", "qid"], "fused", ["doc_id"], 10)
 
 
-def p2_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The budget of docs and documents after a first load of what had arrived at the start and an update to the whole tables."""
-    blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
-    docs = table(spark, sf_dir, "docs").filter("doc_id is not null").select(
-        F.col("doc_id").alias("key"), F.regexp_replace(F.lower(blank(F.col("source_type"))), " ", "_").alias("source"),
-        token_budget.language_slice(F.col("lang")).alias("language"), blank(F.col("source_dataset")).alias("domain"), "text", F.col("line_no").alias("at"),
+def _blank(c: Column) -> Column:
+    return F.when(F.trim(c) != "", F.trim(c))
+
+
+def _budget_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "docs").filter("doc_id is not null").select(
+        F.col("doc_id").alias("key"), F.regexp_replace(F.lower(_blank(F.col("source_type"))), " ", "_").alias("source"),
+        token_budget.language_slice(F.col("lang")).alias("language"), _blank(F.col("source_dataset")).alias("domain"), "text", F.col("line_no").alias("at"),
     )
-    documents = table(spark, sf_dir, "documents").filter("doc_id is not null").select(
-        F.col("doc_id").cast("string").alias("key"), F.lower(blank(F.col("source"))).alias("source"),
-        token_budget.language_slice(F.col("lang")).alias("language"), F.lower(blank(F.col("domain"))).alias("domain"), "text", F.unix_micros(F.col("updated_at").cast("timestamp")).alias("at"),
+
+
+def _budget_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").filter("doc_id is not null").select(
+        F.col("doc_id").cast("string").alias("key"), F.lower(_blank(F.col("source"))).alias("source"),
+        token_budget.language_slice(F.col("lang")).alias("language"), F.lower(_blank(F.col("domain"))).alias("domain"), "text", F.unix_micros(F.col("updated_at").cast("timestamp")).alias("at"),
     )
+
+
+SLICES = ["source", "language", "domain"]
+
+
+def p2_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The budget of docs and documents after a first load of what had arrived at the start and an update to the whole tables by another object on the same folder."""
     out = None
-    for name, rows in (("docs", docs), ("documents", documents)):
-        budget = token_budget.TokenBudget(spark, ["source", "language", "domain"])
+    for name, rows in (("docs", _budget_docs(spark, sf_dir)), ("documents", _budget_documents(spark, sf_dir))):
+        first = token_budget.TokenBudget(spark, SLICES)
         early = rows.agg(F.percentile_approx("at", 0.9)).collect()[0][0]
-        budget.update(rows.filter(F.col("at") <= F.lit(early)), order="at")
+        first.update(rows.filter(F.col("at") <= F.lit(early)), order="at")
+        budget = token_budget.TokenBudget(spark, SLICES, path=first.path)
         budget.update(rows, order="at")
-        part = budget.report().select(F.lit(name).alias("corpus"), "level", "source", "language", "domain", "documents", "tokens")
+        part = budget.report().select(F.lit(name).alias("corpus"), "level", *SLICES, "documents", "tokens")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def p2_after_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The budget of docs after a first load, and a change feed that removes the documents of doc_tombstones."""
+    rows = _budget_docs(spark, sf_dir)
+    budget = token_budget.TokenBudget(spark, SLICES)
+    budget.update(rows, order="at")
+    gone = table(spark, sf_dir, "doc_tombstones").select(normal_id(F.col("doc_id")).alias("_gone")).filter("_gone <> ''").distinct()
+    keys = rows.select("key").distinct().withColumn("_gone", normal_id(F.col("key")))
+    budget.apply(rows.limit(0), keys.join(gone, "_gone", "left_semi").select("key"), order="at")
+    return budget.report().select("level", *SLICES, "documents", "tokens")
+
+
+def p2_public_tokens(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """The budget of documents in tokens of a public tokenizer, a JSON file."""
+    budget = token_budget.TokenBudget(spark, SLICES, token_budget.file_tokenizer(f"file://{path or TOKENIZER}"))
+    budget.update(_budget_documents(spark, sf_dir), order="at")
+    return budget.report().select("level", *SLICES, "documents", "tokens")
+
+
 def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = current_rows(table(spark, sf_dir, "docs"), "doc_id", "line_no", ["text"])
     return markup.clean_markup(docs, "doc_id", "text")
@@ -135,8 +173,9 @@ def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = "p1_found p1_ranking p2_token_budget p3_found p3_clean p4_found p4_classes p5_found p5_neighbours p6_found p8_found p8_containers p9_found p9_report p9_sequence p10_found p10_languages p10_passages"
-    return {n: globals()[n] for n in names.split()}
+    names = "p1_found p1_ranking p2_token_budget p2_after_removals p3_found p3_clean p4_found p4_classes p5_found p5_neighbours p6_found p8_found p8_containers p9_found p9_report p9_sequence p10_found p10_languages p10_passages"
+    known = {n: globals()[n] for n in names.split()}
+    return known | ({"p2_public_tokens": p2_public_tokens} if os.path.exists(TOKENIZER) else {})
 
 
 def oracle_sql() -> dict[str, str]:

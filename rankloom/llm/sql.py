@@ -45,6 +45,9 @@ BUDGET = (
     + _budget("documents", f"select lower(nullif(trim(source), '')) as source, {_language('lang')} as language, lower(nullif(trim(domain), '')) as domain, {_count('text')} as tokens from documents where doc_id is not null")
 )
 
+_DOCS = BUDGET[: BUDGET.index(" union all \nselect 'documents'")]
+REMOVED = "select level, source, language, domain, documents, tokens from (" + _DOCS.replace("where doc_id is not null", "where doc_id is not null and lower(trim(doc_id)) not in (select lower(trim(doc_id)) from doc_tombstones where trim(doc_id) <> '')") + ")"
+
 SHORT = f"""
 with sized as (select lower(trim(source)) as k, {_count('text')} as n from documents where trim(source) <> ''),
 per as (select k, sum(n) as n from sized group by 1), every as (select coalesce(sum(n), 0) as n from sized)
@@ -93,6 +96,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"with {FUSED} select run_id, qid, doc_id from fused qualify row_number() over (partition by run_id, qid order by fused desc, doc_id) = 1",
         "p1_ranking": f"with {FUSED}, placed as (select *, row_number() over (partition by run_id, qid order by fused desc, doc_id) as rank from fused) select run_id, qid, doc_id, fused, rank from placed where rank <= 10",
         "p2_token_budget": BUDGET,
+        "p2_after_removals": REMOVED,
         "p6_found": """select run_id, qid, route, doc_id, chunk_id from (
   select run_id, qid, route, doc_id, chunk_id, max(score) as score from hits where score is not null and not isnan(score) group by all)
 qualify row_number() over (partition by run_id, qid, route order by score desc, doc_id nulls first, chunk_id nulls first) <= 5""",

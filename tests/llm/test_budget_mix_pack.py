@@ -47,10 +47,50 @@ def test_budget_follows_changes(spark):
         assert got == cube(list(dict.fromkeys(step)))
     report = {r["level"]: (r["documents"], r["tokens"]) for r in budget.report().collect() if r["level"] != "slice"}
     assert report == {"total": (1, 2), "unlabelled": (0, 0)}
-    encoded = [r["n"] for part in budget.counts for r in part.agg(F.count("*").alias("n")).collect()]
+    encoded = [spark.read.parquet(f"{budget.path}/{name}").count() for name in budget.state["counts"]]
     assert encoded == [3, 1, 0, 0, 0]  # contents are counted once
 
 
+def test_budget_goes_on_from_its_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_budget.TokenBudget, "MERGE", 3)
+    frame = lambda rows: spark.createDataFrame(rows, "key string, source string, text string")
+    rng, path, held = random.Random(8), str(tmp_path / "budget"), {}
+    for step in range(9):
+        budget = token_budget.TokenBudget(spark, ["source"], path=path)
+        changed = {f"k{rng.randrange(12)}": (rng.choice(["s", "t", None]), rng.choice([None, "one", "one two", "上海", f"new {step}"])) for _ in range(rng.choice([0, 3, 5]))}
+        removed = {f"k{rng.randrange(12)}" for _ in range(3)}
+        if step % 3 == 2:
+            held = {**{k: v for k, v in held.items() if k not in removed}, **changed}
+            cubes = budget.update(frame([(k, *v) for k, v in held.items()]))
+        else:
+            held = {**{k: v for k, v in held.items() if k not in removed}, **changed}
+            cubes = budget.apply(frame([(k, *v) for k, v in changed.items()]), spark.createDataFrame([(k,) for k in removed] + [(None,)], "key string"))
+        assert {r["source"]: (r["documents"], r["tokens"]) for r in cubes.collect()} == cube([(k, *v) for k, v in held.items()])
+        assert len(budget.state["docs"]) <= 3 and len(budget.state["counts"]) <= 3
+    assert budget.state["version"] == 9
+    folders = {p.name for p in (tmp_path / "budget").iterdir() if p.is_dir()}
+    assert folders == {*budget.state["docs"], *budget.state["counts"], budget.state["cube"], *budget.state["old"]}
+    with pytest.raises(ValueError):
+        token_budget.TokenBudget(spark, ["domain"], path=path)
+
+
+def test_failed_update_leaves_the_state(spark, monkeypatch):
+    frame = lambda rows: spark.createDataFrame(rows, "key string, source string, text string")
+    budget = token_budget.TokenBudget(spark, ["source"])
+    budget.update(frame([("a", "s", "one two")]))
+
+    def broken(*_):
+        raise OSError("disk")
+
+    with monkeypatch.context() as m:
+        m.setattr(token_budget, "write_text", broken)
+        with pytest.raises(OSError):
+            budget.update(frame([("b", "s", "x")]))
+    again = token_budget.TokenBudget(spark, ["source"], path=budget.path)
+    assert [tuple(r) for r in again.cube.collect()] == [tuple(r) for r in budget.cube.collect()] == [("s", 1, 2)]
+    assert [tuple(r) for r in again.update(frame([("b", "s", "x")])).collect()] == [("s", 1, 1)]
+
+
 def test_budget_last_row_counts(spark):
     rows = spark.createDataFrame([("a", "s", "x y z", 1, "c"), ("a", "t", "x", 2, "c"), (None, "s", "x", 3, "c")], "key string, source string, text string, at int, tokens string")
     budget = token_budget.TokenBudget(spark, ["source"])

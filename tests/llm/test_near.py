@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankloom.llm import neardup, neighbours
 from rankloom.llm.graph import VectorGraph
@@ -58,6 +59,31 @@ def test_pairs_against_brute_force(spark, width, threshold, bucket):
     assert classes == {i: root(i) for i in sets}
 
 
+def test_hot_band_is_no_quadratic_bucket(spark):
+    n = 20_000
+    rng = np.random.default_rng(4)
+    bands = rng.integers(0, 2**62, (n, neardup.BANDS))
+    bands[:, 7] = 42  # all share one band, as by a standard paragraph
+    bands[10:13, 20:30] = bands[10, 20:30]  # three that share much more
+    reps = spark.createDataFrame([(i, b.tolist()) for i, b in enumerate(bands)], "num long, bands array<long>")
+    found = neardup._buckets(reps, 1000).groupBy("band").agg(F.count("*").alias("n"), F.max("num").alias("most")).collect()
+    assert max(r["n"] for r in found) == 3 and all(r["most"] == 12 for r in found)
+    # Only hot bands in common: they meet under longer keys.
+    bands[:, 20:30] = bands[0, 20:30]
+    reps = spark.createDataFrame([(i, b.tolist()) for i, b in enumerate(bands[:50])], "num long, bands array<long>")
+    assert {r["num"] for r in neardup._buckets(reps, 10).filter("n = 50").collect()} == set(range(50))
+
+
+def test_equal_sets_of_different_texts_are_all_paired(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    data = [(f"a{i}", words, "t") for i in range(6)] + [(f"b{i}", words.upper() + "!" * i, "t") for i in range(3)]
+    found = neardup.NearDuplicates(spark.createDataFrame(data, "id string, text string, title string"), "id", "text", "title", 0.6, 3)
+    got = {tuple(r) for r in found.pairs(expand=4).collect()}
+    ids = ["a0", "b0", "b1", "b2"]
+    assert got == {("a0", f"a{i}") for i in range(1, 6)} | {(x, y) for x in ids for y in ids if x < y}
+    assert len(found.pairs().collect()) == 9 * 8 // 2
+
+
 def test_empty_near(spark):
     none = spark.createDataFrame([], "id string, text string")
     found = neardup.NearDuplicates(none, "id", "text")

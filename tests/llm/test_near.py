@@ -174,6 +174,36 @@ def test_nearest_against_brute_force(spark):
     assert all(len(v) == 10 for v in got.values())
 
 
+def test_cells_and_shards():
+    x = unit(4000, 16)
+    centres = neighbours.cells_of(x, 64)
+    at = (x @ centres.T).argmax(1)
+    counts = np.bincount(at, minlength=64)
+    counts[5] += 5000  # one cell holds more than half
+    first, parts = neighbours.shards_of(centres, counts, 700)
+    load = np.zeros(int((first + parts).max()))
+    for c in range(64):
+        load[first[c] : first[c] + parts[c]] += counts[c] / parts[c]
+    assert load.max() <= 700 and (load > 0).all() and parts[5] == -(-counts[5] // 700) and (np.delete(parts, 5) == 1).all()
+
+
+def test_routed_recall(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAST_CELLS", 128)
+    monkeypatch.setattr(neighbours, "PROBED_CELLS", 24)
+    rng = np.random.default_rng(12)
+    x = unit(60)[rng.integers(0, 60, 4000)] * 1.5 + rng.normal(size=(4000, 64)) / 8  # gathered around topics
+    third = x[7] + rng.normal(size=(1500, 64)) * 1e-4  # and a third side by side
+    items = [(f"k{i:04d}", v.astype(np.float32).astype(float).tolist(), 0) for i, v in enumerate(np.concatenate([x, third]))]
+    df = spark.createDataFrame(items, "key string, v array<float>, at long")
+    asked = [f"k{i:04d}" for i in range(0, 5500, 25)]
+    found = neighbours.nearest(df, spark.createDataFrame([(a,) for a in asked], "key string"), "key", "v", shard_vectors=300)
+    got, want = {}, nearest(items, asked, 10)
+    for r in found.collect():
+        got.setdefault(r["query"], set()).add(r["neighbour"])
+    assert np.mean([len(got[q] & {n for _, n in want[q]}) / 10 for q in asked]) >= 0.97
+    assert np.mean([len(got[q] & {n for _, n in want[q]}) / 10 for q in asked if q >= "k4000"]) >= 0.97
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([("a", [1.0] * 64), ("b", [2.0] * 64), ("c", [-1.0] * 64)], "key string, v array<float>")
     got = sorted(tuple(r) for r in neighbours.nearest(df, df, "key", "v").select("query", "neighbour", "rank").collect())

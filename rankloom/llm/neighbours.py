@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 from rankloom.llm.graph import VectorGraph
 from rankloom.shared import small, stored
 
-#: Vectors of a shard: 8 MB of 64 components, about 4 MB of edges, and the time one task takes to build its graph.
-SHARD_VECTORS = 32_768
+#: Vectors of a shard at most: 8 MB of 64 components, about 4 MB of edges, and the time one task takes to build its graph. Fewer, where that gives every core three shards, but not
+#: less than LEAST_VECTORS.
+SHARD_VECTORS, LEAST_VECTORS = 32_768, 8192
 BEAM = 96
-#: Vectors from which cells are made at most, cells for each shard, and their bounds. A sixteenth of the cells, and 96 at least, are searched for a query.
-SAMPLE_VECTORS, SHARD_CELLS, LEAST_CELLS, MOST_CELLS = 32_768, 32, 512, 4096
-PROBED_SHARE, PROBED_CELLS = 1 / 16, 96
+#: Vectors from which cells are made at most, cells for each shard, and their bounds. A sixteenth of the cells, and 32 at least, are searched for a query.
+SAMPLE_VECTORS, SHARD_CELLS, LEAST_CELLS, MOST_CELLS = 8192, 32, 512, 1024
+PROBED_SHARE, PROBED_CELLS = 1 / 16, 32
 #: Unit vectors nearer than LINK may form a group, whose members lie within RADIUS of its first; the graph's single precision could hardly tell them apart.
 LINK, RADIUS = 1e-3, 2e-3
 
@@ -122,18 +123,18 @@ def near_groups(x: np.ndarray, tries: int = 4, steps: int = 8) -> tuple[np.ndarr
 
 
 def nearest(
-    items: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, dims: int = 64, latest: str | None = None, shard_vectors: int = SHARD_VECTORS, beam: int = BEAM
+    items: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 10, dims: int = 64, latest: str | None = None, shard_vectors: int | None = None, beam: int = BEAM
 ) -> DataFrame:
     """query, neighbour, similarity (double, cosine), rank (bigint): for every key of ``queries`` the k keys of ``items`` of highest cosine.
 
-    All usable items are indexed, in shards of at most about ``shard_vectors``; the graph of each shard that holds one of the cells nearest to a query is searched with a beam of ``beam``
+    All usable items are indexed, in shards of at most about ``shard_vectors`` (see SHARD_VECTORS); the graph of each shard that holds one of the cells nearest to a query is searched with a beam of ``beam``
     and its k best go into one ranking per query, ties by key. Misses are possible, the README states the measured share. Queries that are
     no usable item give no rows. A key counts once, with the vector of its largest ``latest`` (else the largest vector); a key is not its own neighbour.
     Nearly equal directions enter a graph once, and all of them are compared with a query that comes near. Only of items whose scaled directions are equal in every bit the k + 1 smallest keys suffice:
     their cosines are equal, so more cannot be among the best k. A cell that a large group of nearly equal ones fills is dealt to several shards, and its queries go to all of them. A table
     smaller than k + 1 gives what it has.
     """
-    if k <= 0 or dims <= 0 or shard_vectors <= 0 or beam < k:
+    if k <= 0 or dims <= 0 or (shard_vectors is not None and shard_vectors <= 0) or beam < k:
         raise ValueError("k, dims and shard_vectors must be positive and beam at least k")
     spark = items.sparkSession
     order = F.struct(F.col(latest).alias("o"), F.col(vector).alias("v")) if latest else F.struct(F.col(vector).alias("v"))
@@ -142,6 +143,7 @@ def nearest(
     number = once.count()
     if not number:
         return spark.createDataFrame([], "query string, neighbour string, similarity double, rank bigint")
+    shard_vectors = shard_vectors or min(SHARD_VECTORS, max(LEAST_VECTORS, number // (3 * spark.sparkContext.defaultParallelism)))
     # A bounded sample, chosen by a hash of the key, of which only the cells' centres stay.
     share = min(1.0, SAMPLE_VECTORS / number)
     picked = once.filter(F.pmod(F.xxhash64(F.lit("cells"), "key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy("key").limit(SAMPLE_VECTORS).select("v").toArrow()

@@ -107,6 +107,7 @@ def mix(docs: DataFrame, targets: DataFrame, tokens: Column | None = None, seed:
     sized = docs.select(
         F.col("doc_id"), normal_id(F.col("source")).alias("_key"), (token_count(F.col("text")) if tokens is None else F.coalesce(tokens, F.lit(0))).cast("bigint").alias("tokens")
     ).filter(F.col("_key") != "")
+    sized = stored(sized, "sizes")  # texts are counted once
     stats = sized.groupBy("_key").agg(F.sum("tokens").alias("source_tokens"))
     everything = stats.agg(F.coalesce(F.sum("source_tokens"), F.lit(0))).collect()[0][0]  # one number
     wanted = targets.groupBy("plan_id", "source").agg(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.text import normal_id
 from rankloom.llm import language, markup, mixing, neardup, neighbours, packing, ranking, sql, token_budget
 from rankloom.operators.current import current_rows
-from rankloom.shared import table
+from rankloom.shared import stored, table
 
 
 #: A public tokenizer's file; the query that uses it is there only if the file is.
@@ -82,8 +82,8 @@ def p2_public_tokens(spark: SparkSession, sf_dir: str, path: str | None = None)
 
 
 def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = current_rows(table(spark, sf_dir, "docs"), "doc_id", "line_no", ["text"])
-    return markup.clean_markup(docs, "doc_id", "text")
+    docs = stored(current_rows(table(spark, sf_dir, "docs"), "doc_id", "line_no", ["text", "lang"]), "current")
+    return markup.clean_markup(docs, "doc_id", "text", "lang")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -13,15 +14,23 @@ PLAIN = [
 ]
 MARKED = [
     ("<p>Hello <b>world</b></p>", ["html"], "Hello world"), ("Fish &amp; chips&nbsp;now", ["html"], "Fish & chips now"), ("a<br/>b", ["html"], "a\nb"), ("<!-- x -->Text", ["html"], "Text"),
-    ("<h2>Head</h2><ul><li>a</li><li>b</li></ul><pre><code>if a &lt; b:\n  c</code></pre>", ["html"], "# Head\n\n- a\n- b\n\n```\nif a < b:\n  c\n```"),
-    ("## Head\n\nText with `code` and **bold**, ~~gone~~ [link](http://x.y).", ["markdown"], "# Head\n\nText with code and bold, gone link."),
-    ("Head\n====\n\n- [ ] task\n- [x] done", ["markdown"], "# Head\n\n- task\n- done"), ("```sh\nls <b> $HOME\n```", ["markdown"], "```\nls <b> $HOME\n```"),
+    ("<h2>Head</h2><ul><li>a</li><li>b</li></ul><pre><code>if a &lt; b:\n  c</code></pre>", ["html"], "## Head\n\n- a\n- b\n\n```\nif a < b:\n  c\n```"),
+    ("## Head\n\nText with `code` and **bold**, ~~gone~~ [link](http://x.y).", ["markdown"], "## Head\n\nText with code and bold, gone link."),
+    ("Head\n====\n\n- [ ] task\n- [x] done", ["markdown"], "# Head\n\n- task\n- done"), ("```sh\nls <b> $HOME\n```", ["markdown"], "```sh\nls <b> $HOME\n```"),
     ("| a | b |\n|---|---:|\n| 1 | 2 |", ["markdown"], "| a | b |\n| 1 | 2 |"), ("![alt](img/a.png) end", ["markdown"], "alt end"),
-    ("== Head ==\n\n'''bold''' and ''it'' [[Page|text]] [[Other]]\n\n[[Category:X]]", ["wiki"], "# Head\n\nbold and it text Other"), ("{{Notice|team=A}}\n\nText", ["wiki"], "Text"),
-    ("{| class=\"wikitable\"\n! a !! b\n|-\n| 1 || 2\n|}", ["wiki"], "| a | b |\n| 1 | 2 |"), ("[[Link]] first\n\n** deep\n: in", ["wiki"], "Link first\n\n- deep\n- in"),
+    ("== Head ==\n\n'''bold''' and ''it'' [[Page|text]] [[Other]]\n\n[[Category:X]]", ["wiki"], "## Head\n\nbold and it text Other"), ("{{Notice|team=A}}\n\nText", ["wiki"], "Text"),
+    ("{| class=\"wikitable\"\n! a !! b\n|-\n| 1 || 2\n|}", ["wiki"], "| a | b |\n| 1 | 2 |"), ("[[Link]] first\n\n** deep\n: in", ["wiki"], "Link first\n\n  - deep\n- in"),
     ("\\section{Head}\n\n\\textbf{bold} 15\\% and $q_i^{2} \\le 5$.", ["latex"], "# Head\n\nbold 15% and $q_i^{2} \\le 5$."),
     ("\\begin{itemize}\n  \\item a\n  \\item b\n\\end{itemize}", ["latex"], "- a\n- b"), ("So\n\\[ t = \\frac{1}{2} \\]\nend", ["latex"], "So\n\n$ t = \\frac{1}{2} $\n\nend"),
     ("<em>a</em> and **b**", ["html", "markdown"], "a and b"),
+    ("<p>Seen</p><style>.a{color:red}</style><script type='x'>var x=1 && '<b>';</script><p>too</p>", ["html"], "Seen\n\ntoo"),
+    ("<ol><li>a<ul><li>b</li><li>c</li></ul></li><li>d</li></ol><h4>Deep</h4>", ["html"], "1. a\n  - b\n  - c\n2. d\n\n#### Deep"),
+    ("<pre><code class=\"language-python\">x = 1</code></pre>", ["html"], "```python\nx = 1\n```"),
+    ("# One\n\n### Three\n\n1. a\n2. b\n   - c\n10) d", ["markdown"], "# One\n\n### Three\n\n1. a\n2. b\n  - c\n10) d"),
+    ("Head\n----\n\nBody", ["markdown"], "## Head\n\nBody"),
+    ("=== Head ===\n\n*** c\n\nSee [[Page]].", ["wiki"], "### Head\n\n    - c\n\nSee Page."),
+    ("\\subsection{Sub}\n\\begin{enumerate}\n\\item a\n\\begin{itemize}\n\\item b\n\\end{itemize}\n\\item c\n\\end{enumerate}", ["latex"], "## Sub\n\n1. a\n  - b\n2. c"),
+    ("\\begin{lstlisting}[language=Java]\nint x;\n\\end{lstlisting}", ["latex"], "```java\nint x;\n```"),
 ]
 
 
@@ -43,6 +52,23 @@ def test_link_lists_are_residue():
     assert kinds == ["markdown"] and clean == f"{body}\n\nShort line" and (blocks, dropped) == (6, 4)
 
 
+def test_inheritance_is_linear():
+    clean, text = markup.Cleaner(), "[[Page]] first\n\n" + "> short\n\n# maybe\n\n" * 6000
+    began = time.time()
+    kinds, _, blocks, _ = clean(text)
+    assert kinds == ["markdown", "wiki"] or kinds == ["wiki"]
+    assert blocks == 12_001 and time.time() - began < 20
+
+
+def test_stop_words_of_the_corpus(spark):
+    rng = random.Random(2)
+    data = [(i, " ".join(["the", "of", *rng.choices([f"w{chr(97 + j)}" for j in range(26)], k=3), f"x{i}"]), "en") for i in range(60)]
+    data += [(100 + i, "der Bericht und " + rng.choice("abcdefg") * 3, "DE_at") for i in range(30)] + [(200 + i, "这是" + rng.choice("山水火土木金") * 2, "zh") for i in range(30)]
+    data += [(300, "odd odd", "it"), (301, None, "en"), (302, "", None)]
+    words, han = markup.stop_words(spark.createDataFrame(data, "id int, text string, lang string"), "text", "lang", share=0.6)
+    assert words == {"the", "of", "der", "bericht", "und"} and han == {"这", "是"}
+
+
 def test_long_and_odd_texts_end():
     clean = markup.Cleaner()
     for text in ("<" * 20000, "[" * 20000, "**" * 10000, "$" * 20001, "\\item{" * 5000, "`" * 9999, "word " * 60000, "| " * 8000, "\ue0000\ue001 x", "{{" * 9000, "&" * 9000):

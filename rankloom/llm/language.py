@@ -22,8 +22,8 @@ WINDOW, EDGE = 96, 8
 EVIDENCE = 10
 #: Bytes that a passage has at least, unless the text is shorter.
 PASSAGE = 24
-#: Characters of a text that are labelled at a time.
-PART = 1_000_000
+#: Windows that go through the network at a time; of each only sums by passage stay, so that memory follows the passages of a text and not its bytes.
+WINDOWS = 1024
 
 _END = regex.compile(r"\n+|[.!?;](?=\s)|[。！？；]")
 _LETTER = regex.compile(r"\p{L}")
@@ -115,45 +115,45 @@ class Labeller:
         self.net, self.languages = net, languages
 
     def __call__(self, texts: list[str]) -> list[list[tuple[int, int, str | None, float]]]:
-        """Of each text its passages: (start, end, language or None, confidence), in characters; neighbours of one language are one passage.
-        Very long texts are labelled part by part, so that memory stays bounded."""
-        if not any(len(t) > PART for t in texts):
-            return self._label(texts)
-        out = []
-        for t in texts:
-            found: list[tuple[int, int, str | None, float]] = []
-            for at in range(0, len(t), PART):
-                found = joined(found, [(a + at, b + at, lang, c) for a, b, lang, c in self._label([t[at : at + PART]])[0]])
-            out.append(found)
-        return out
-
-    def _label(self, texts: list[str]) -> list[list[tuple[int, int, str | None, float]]]:
+        """Of each text its passages: (start, end, language or None, confidence), in characters; neighbours of one language are one passage. Texts of any length are labelled whole."""
         plain = [plain_case(t) for t in texts]
         data = [np.frombuffer(p.encode(), np.uint8) for p in plain]
         views = [windows_of(d) for d in data]
         stride = WINDOW - 2 * EDGE
         first = np.cumsum([0, *[len(v) for v in views]])
         every = np.concatenate(views) if views else np.zeros((0, WINDOW), np.uint8)
-        logs = np.empty((len(every), stride, len(self.languages)), np.float32)
-        for at in range(0, len(every), 1024):
-            logs[at : at + 1024] = self.net.log_probabilities(every[at : at + 1024])[:, EDGE : WINDOW - EDGE]
-        out = []
+        # Bytes stand one after another, a text's windows side by side; a passage begins at one of them, and so does what fills up a text's last window.
+        cuts = [passages(t) for t in texts]
+        places, begins = [], []
+        for i, cut in enumerate(cuts):
+            where = np.append(np.flatnonzero((data[i] & 0xC0) != 0x80), len(data[i]))
+            starts = np.append(where[[a for a, _ in cut]], len(data[i])) if cut else np.array([len(data[i])])
+            places.append(starts)
+            begins.append(starts + first[i] * stride)
+        begin = np.concatenate([*begins, [len(every) * stride]]) if begins else np.zeros(1, np.int64)
+        sums = np.zeros((len(begin), len(self.languages)))
+        for at in range(0, len(every), WINDOWS):
+            logs = self.net.log_probabilities(every[at : at + WINDOWS])[:, EDGE : WINDOW - EDGE].reshape(-1, len(self.languages))
+            low, high = at * stride, at * stride + len(logs)
+            a, b = np.searchsorted(begin, low, "right") - 1, np.searchsorted(begin, high, "left")
+            local = np.maximum(begin[a:b] - low, 0)
+            held = np.flatnonzero(np.diff(np.append(local, len(logs))) > 0)
+            sums[a + held] += np.add.reduceat(logs, local[held], axis=0)
+        out, row = [], 0
         for i, t in enumerate(texts):
-            cut = passages(t)
+            cut, starts = cuts[i], places[i]
+            mine, row = sums[row : row + len(cut)], row + len(cut) + 1
             if not cut:
                 out.append([])
                 continue
-            mine = logs[first[i] : first[i + 1]].reshape(-1, len(self.languages))[: len(data[i])]
-            where = np.append(np.flatnonzero((data[i] & 0xC0) != 0x80), len(data[i]))
-            starts = where[[a for a, _ in cut]]
-            sizes = np.diff(np.append(starts, len(data[i])))
-            mean = np.add.reduceat(mine, starts, axis=0) / sizes[:, None]
+            sizes = np.diff(starts)
+            mean = mine / sizes[:, None]
             # The document's languages, pooled over its bytes, decide between those that a short passage leaves open.
             own = _shares(mean)
             pooled = (own * sizes[:, None]).sum(0) / sizes.sum()
-            sums = _shares(mean * (sizes / EVIDENCE)[:, None] + np.log(0.02 + 0.98 * pooled))
-            best = sums.argmax(1)
-            p = sums.max(1)
+            judged = _shares(mean * (sizes / EVIDENCE)[:, None] + np.log(0.02 + 0.98 * pooled))
+            best = judged.argmax(1)
+            p = judged.max(1)
             each = []
             for (a, b), k, c in zip(cut, best, p, strict=True):
                 lang = self.languages[k] if _LETTER.search(t, a, b) else None

@@ -154,13 +154,16 @@ def test_no_labels(spark):
     assert language.segments(docs, "doc_id", "text", "lang").count() == 0
 
 
-def test_parts_of_long_texts(monkeypatch):
-    monkeypatch.setattr(language, "PART", 50)
+def test_long_texts_are_labelled_whole(monkeypatch):
     net = ByteGru(2, hidden=4)
-    text = "Ein langer Satz mit Ümlauten. " * 9 + "第二句话。" * 12
-    found = language.Labeller(net, ["a", "b"])([text, "short", ""])
-    assert found[0][0][0] == 0 and found[0][-1][1] == len(text) and all(x[1] == y[0] and x[2] != y[2] for x, y in zip(found[0], found[0][1:], strict=False))
-    assert [f[:2] for f in found[1]] == [(0, 5)] and found[2] == []
+    texts = ["Ein langer Satz mit Ümlauten. " * 90 + "第二句话。" * 120, "short", "", "x" * 3000 + ". yes no\n" * 5]
+    want = language.Labeller(net, ["a", "b"])(texts)
+    assert want[0][0][0] == 0 and want[0][-1][1] == len(texts[0]) and all(x[1] == y[0] and x[2] != y[2] for x, y in zip(want[0], want[0][1:], strict=False))
+    assert [f[:2] for f in want[1]] == [(0, 5)] and want[2] == []
+    for windows in (1, 2, 7):
+        monkeypatch.setattr(language, "WINDOWS", windows)
+        got = language.Labeller(net, ["a", "b"])(texts)
+        assert [[f[:3] for f in t] for t in got] == [[f[:3] for f in t] for t in want]
 
 
 def test_deeply_nested_latex():

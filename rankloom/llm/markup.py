@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.shared import spread
+from rankloom.shared import spread, stored
 
 KINDS = ("html", "latex", "markdown", "wiki")
 
@@ -87,6 +87,16 @@ _TEX_VERBATIM = regex.compile(r"\\begin\{(verbatim|lstlisting|minted)\}([^\n]*)\
 _TEX_LIST = regex.compile(r"^[ \t]*\\(begin|end)\{(itemize|enumerate|description)\*?\}[^\n]*$|^[ \t]*\\(item)\b(?:\[[^\]\n]*\])?[ \t]*", regex.M)
 _TEX_SECTION = regex.compile(r"\\((?:sub)*)section\*?\{([^{}]*)\}")
 _LIST = regex.compile(r"^([ \t]*)([-*+•]|\d{1,3}[.)])[ \t]+(?=\S)(.*)$")
+_HAN = regex.compile("[一-鿿]")
+_BLANKS = regex.compile(r"[ \t]+")
+_RULER = regex.compile(r"-{4,}|\*{3,}|_{3,}")
+_WIKI_ANY_HEAD = regex.compile(r"^={2,6}[^=].*={2,6}[ \t]*$", regex.M)
+_WIKI_ROW = regex.compile(r"^\|-.*$", regex.M)
+_TEX_ANY_ITEM = regex.compile(r"^[ \t]*\\item\b(?!\\)", regex.M)
+_TEX_GONE = regex.compile(r"\\(?:label|ref|cite|eqref|pageref|index)\*?\{[^{}]*\}")
+_TEX_NOTE = regex.compile(r"\\footnote\{([^{}]*)\}")
+_TEX_INNER = regex.compile(r"(?<![A-Za-z0-9_:\\/])\\(?:href\{[^{}]*\}|[A-Za-z]+)\*?\{([^{}]*)\}")
+_TEX_QUOTED = regex.compile(r"\\([%&#_${}])")
 _WORDS = regex.compile(r"[\p{L}\p{N}]+")
 _HOLD = regex.compile("\ue000(\\d+)\ue001")
 
@@ -173,12 +183,19 @@ class Cleaner:
 
         # Code and formulas first: what they hold is no markup.
         text = _PRIVATE.sub("", text)
-        text = _FENCE.sub(code("markdown", 3, 2), text)
-        text = _TEX_VERBATIM.sub(code("latex", 3, 2), text)
-        text = _PRE.sub(code("html", 2, 1), text)
-        text = _TEX_DISPLAY.sub(maths, text)
-        text = _TEX_MATH.sub(maths, text)
-        text = _MD_CODE.sub(lambda m: _SIGN["markdown"] + hold("word", m[1]), text)
+        # Most texts lack the characters that a construct begins with.
+        if "```" in text or "~~~" in text:
+            text = _FENCE.sub(code("markdown", 3, 2), text)
+        if "\\" in text:
+            text = _TEX_VERBATIM.sub(code("latex", 3, 2), text)
+        if "<" in text:
+            text = _PRE.sub(code("html", 2, 1), text)
+        if "\\" in text:
+            text = _TEX_DISPLAY.sub(maths, text)
+        if "$" in text:
+            text = _TEX_MATH.sub(maths, text)
+        if "`" in text:
+            text = _MD_CODE.sub(lambda m: _SIGN["markdown"] + hold("word", m[1]), text)
         text = self._html(text)
         text = self._wiki(text)
         text = self._tex(text)
@@ -194,9 +211,10 @@ class Cleaner:
 
     def _html(self, text: str) -> str:
         sign = _SIGN["html"]
-        text = _COMMENT.sub(sign, text)
-        text = _UNSEEN.sub(sign, text)
-        tags = _real_tags(text)
+        tags = []
+        if "<" in text:
+            text = _UNSEEN.sub(sign, _COMMENT.sub(sign, text))
+            tags = _real_tags(text)
         if tags:
             out, at, cells = [], 0, 0
             lists: list[int] = []  # of each open list the last number, 0 for bullets
@@ -237,32 +255,34 @@ class Cleaner:
         def entity(m) -> str:
             return sign + html.unescape(m[0]).replace("\u00a0", " ") if m[0][1] == "#" or m[0][1:] in html5 else m[0]
 
-        return _ENTITY.sub(entity, text)
+        return _ENTITY.sub(entity, text) if "&" in text else text
 
     def _wiki(self, text: str) -> str:
         found = 0
 
-        def use(pattern, put, s: str) -> str:
+        def use(needs: str, pattern, put, s: str) -> str:
             nonlocal found
+            if needs not in s:
+                return s
             out, n = pattern.subn(lambda m: _SIGN["wiki"] + put(m), s)
             found += n
             return out
 
         def cells(m) -> str:
             rows = []
-            for row in regex.split(r"^\|-.*$", m[1], flags=regex.M):
+            for row in _WIKI_ROW.split(m[1]):
                 parts = [p.strip() for line in row.split("\n") if line[:1] in "|!" and line for p in regex.split(r"\|\||!!", line[1:])]
                 if parts:
                     rows.append("| " + " | ".join(parts) + " |")
             return "\n\n" + _SIGN["wiki"] + "\n".join(rows) + "\n\n"
 
-        text = use(_WIKI_TABLE, cells, text)
-        text = use(_WIKI_TAG, lambda m: "", text)
-        text = use(_WIKI_TEMPLATE, lambda m: "", text)
-        text = use(_WIKI_LINK, lambda m: "" if m[1].lower().startswith(("category:", "file:", "image:")) else (m[2] or m[1]), text)
-        text = use(_WIKI_STRONG, lambda m: m[1], text)
-        text = use(_WIKI_EM, lambda m: m[1], text)
-        if found or regex.search(r"^={2,6}[^=].*={2,6}[ \t]*$", text, regex.M):
+        text = use("{|", _WIKI_TABLE, cells, text)
+        text = use("", _WIKI_TAG, lambda m: "", text)
+        text = use("{{", _WIKI_TEMPLATE, lambda m: "", text)
+        text = use("[[", _WIKI_LINK, lambda m: "" if m[1].lower().startswith(("category:", "file:", "image:")) else (m[2] or m[1]), text)
+        text = use("'''", _WIKI_STRONG, lambda m: m[1], text)
+        text = use("''", _WIKI_EM, lambda m: m[1], text)
+        if found or _WIKI_ANY_HEAD.search(text):
             text = _WIKI_BRACES.sub("", text)
         return text
 
@@ -270,7 +290,7 @@ class Cleaner:
         if "\\" not in text:
             return text
         sign = _SIGN["latex"]
-        where = [m.start() for p in (_TEX_COMMAND, _TEX_AFTER, _TEX_ESCAPE, regex.compile(r"^[ \t]*\\item\b(?!\\)", regex.M)) for m in p.finditer(text)]
+        where = [m.start() for p in (_TEX_COMMAND, _TEX_AFTER, _TEX_ESCAPE, _TEX_ANY_ITEM) for m in p.finditer(text)]
         if not where:
             return text
         # A sign before each construct, on its line; commands are looked for behind it.
@@ -299,20 +319,20 @@ class Cleaner:
         text = _TEX_LIST.sub(item, text)
         text = _TEX_ENV.sub("", text)
         text = _TEX_SECTION.sub(lambda m: f"\n\n{'#' * (1 + len(m[1]) // 3)} \ue002{m[2]}\n\n", text)
-        text = regex.sub(r"\\(?:label|ref|cite|eqref|pageref|index)\*?\{[^{}]*\}", "", text)
-        text = regex.sub(r"\\footnote\{([^{}]*)\}", r" (\1)", text)
+        text = _TEX_GONE.sub("", text)
+        text = _TEX_NOTE.sub(r" (\1)", text)
         n = 1
         while n:  # each pass takes the innermost commands and shortens the text
-            text, n = regex.subn(r"(?<![A-Za-z0-9_:\\/])\\(?:href\{[^{}]*\}|[A-Za-z]+)\*?\{([^{}]*)\}", r"\1", text)
-        text = regex.sub(r"\\([%&#_${}])", r"\1", text).replace("~", " ")
+            text, n = _TEX_INNER.subn(r"\1", text)
+        text = _TEX_QUOTED.sub(r"\1", text).replace("~", " ")
         return text.replace(sign + "\n", sign)
 
     def _lines(self, text: str) -> list[Block]:
         out: list[Block] = []
         # The signs of each line go apart, so that lines look as if they had none.
         signed = text.split("\n")
-        signs = [{_KIND[c] for c in _SIGNS.findall(line)} for line in signed]
-        lines = [_SIGNS.sub("", line) for line in signed]
+        signs = [{_KIND[c] for c in _SIGNS.findall(line)} if not line.isascii() else set() for line in signed]
+        lines = [_SIGNS.sub("", line) if s else line for line, s in zip(signed, signs, strict=True)]
         run: list[str] = []
         held: set = set()
         i = 0
@@ -377,7 +397,7 @@ class Cleaner:
                 add("item", m[3], level=deep(m[1]), sign=m[2] if m[2][0].isdigit() else "-")
             elif _HOLD.fullmatch(bare):
                 add("text", bare)
-            elif regex.fullmatch(r"-{4,}|\*{3,}|_{3,}", bare):
+            elif _RULER.fullmatch(bare):
                 close()
                 held.update(signs[i])
                 close()
@@ -396,7 +416,9 @@ class Cleaner:
             links += len(m[2])
             return m[2]
 
-        for pattern, put in ((_MD_LINK, link), (_MD_STRONG, r"\1"), (_MD_UNDER, r"\1"), (_MD_STRIKE, r"\1"), (_MD_EM, r"\1")):
+        for needs, pattern, put in (("](", _MD_LINK, link), ("**", _MD_STRONG, r"\1"), ("__", _MD_UNDER, r"\1"), ("~~", _MD_STRIKE, r"\1"), ("*", _MD_EM, r"\1")):
+            if needs not in text:
+                continue
             text, n = pattern.subn(put, text)
             if n:
                 block.marks.add("markdown")
@@ -408,7 +430,7 @@ class Cleaner:
     def _inherit(self, blocks: list[Block]) -> None:
         # First pass: what a block itself can decide.
         for b in blocks:
-            han = sum("一" <= c <= "鿿" for c in b.text)
+            han = 0 if b.text.isascii() else len(_HAN.findall(b.text))
             length = len(b.text.strip())
             if b.kind in ("heading", "code", "formula", "table"):
                 b.label = "content"
@@ -469,7 +491,7 @@ class Cleaner:
         out: list[str] = []
         last, counts = "", {}
         for b in blocks:
-            body = regex.sub(r"[ \t]+", " ", b.text).strip() if b.kind not in ("code", "table") else b.text.strip("\n")
+            body = _BLANKS.sub(" ", b.text).strip() if b.kind not in ("code", "table") else b.text.strip("\n")
             if b.kind != "item":
                 counts = {}
             if b.kind == "heading":
@@ -519,7 +541,7 @@ def stop_words(docs: DataFrame, text: str, language: str | None = None, share: f
                 yield out()
         yield out()
 
-    counts = rows.mapInPandas(count, "language string, word string, n bigint").groupBy("language", "word").agg(F.sum("n").alias("n"))
+    counts = stored(rows.mapInPandas(count, "language string, word string, n bigint").groupBy("language", "word").agg(F.sum("n").alias("n")), "words")
     total = counts.filter("word = ''").select("language", F.col("n").alias("texts"))
     # Languages are few, but their labels are dirty: those of fewer than 20 texts are left out.
     often = counts.filter("word <> ''").join(total.filter("texts >= 20"), "language").filter(F.col("n") >= F.col("texts") * share)

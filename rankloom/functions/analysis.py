@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,15 +33,7 @@ def english_terms(text: Column) -> Column:
 
 @F.pandas_udf(ArrayType(StringType()))
 def _stems(lists: pd.Series) -> pd.Series:
-    known: dict[str, str] = {}
-
-    def one(w: str) -> str:
-        s = known.get(w)
-        if s is None:
-            s = known[w] = stem(w)
-        return s
-
-    return pd.Series([[one(w) for w in words] for words in lists])
+    return pd.Series([[stem(w) for w in words] for words in lists])
 
 
 # --- Porter's suffix stripping, after the published description of the algorithm.
@@ -77,6 +71,7 @@ def _swap(word: str, rules: dict[str, str]) -> str:
     return word
 
 
+@lru_cache(1 << 18)  # kept from batch to batch by a worker
 def stem(word: str) -> str:
     if len(word) <= 2 or not word.isascii() or not word.isalpha():
         return word

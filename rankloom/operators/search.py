@@ -45,16 +45,17 @@ def _frame(found: list[tuple], qids: np.ndarray, docs: np.ndarray, keys: np.ndar
         yield pd.DataFrame({"qid": qids[who], "doc_id": docs[at], "chunk_key": keys[at], "score": np.concatenate([s for _, _, s in found])})
 
 
-def _best(score: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+def _best(score: np.ndarray, starts: np.ndarray, owner: np.ndarray, k: int) -> np.ndarray:
     """Items that hold a document's best score (the first of equals), of the k best documents and those that tie with the last.
-    Items are sorted by document and chunk; starts are the documents' first items."""
+    Items are sorted by document and chunk; starts are the documents' first items, owner is each item's document."""
     top = np.maximum.reduceat(score, starts)
-    live = np.flatnonzero(top > -np.inf)
-    if len(live) > k:
-        bound = np.partition(top[live], len(live) - k)[len(live) - k]
-        live = live[top[live] >= bound]
-    ends = np.append(starts[1:], len(score))
-    return np.array([starts[d] + int(np.argmax(score[starts[d] : ends[d]])) for d in live], np.int64)
+    live = top[top > -np.inf]
+    if not len(live):
+        return np.zeros(0, np.int64)
+    bound = np.partition(live, len(live) - k)[len(live) - k] if len(live) > k else live.min()
+    at = np.flatnonzero(score >= bound)
+    at = at[score[at] == top[owner[at]]]
+    return at[np.concatenate([[True], owner[at[1:]] != owner[at[:-1]]])]
 
 
 class _Scopes:
@@ -142,6 +143,7 @@ def bm25(
                 rows = pd.concat(parts, ignore_index=True).sort_values(["doc_id", "chunk_key"], kind="stable", ignore_index=True)
                 docs = rows["doc_id"].to_numpy()
                 starts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
+                owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(docs))))
                 index = {f: _postings(rows[f"{f}_terms"], means[f], k1, b) for f in names}
                 scopes_ = _Scopes(rows, tenant)
                 keys = rows["chunk_key"].to_numpy()
@@ -156,7 +158,7 @@ def bm25(
                             part[texts[at[0] : at[1]]] += gain_ * impact[at[0] : at[1]]
                     np.maximum(total, boosts[f] * part, out=total)
                 score = np.where((total > 0) & scopes_(scope), np.round(total, 6), -np.inf)
-                at = _best(score, starts, k)
+                at = _best(score, starts, owner, k)
                 out.append((j, at, score[at]))
             yield from _frame(out, asked_["qid"].to_numpy(), docs, keys)
 

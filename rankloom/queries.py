@@ -200,8 +200,13 @@ def acl_unscoped_bypass(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Retrieval.
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks with their term arrays, made once as a table: sizes, document frequencies and the search each read the columns they need."""
+    return stored(retrieval.with_terms(chunks_of(spark, sf_dir)).drop("title", "text", "vector"), "index")
+
+
 def df_idf_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    indexed = retrieval.with_terms(chunks_of(spark, sf_dir))
+    indexed = _indexed(spark, sf_dir)
     df, sizes = search.term_statistics(indexed, {"title": "title_terms", "text": "text_terms"})
     n = F.when(F.col("field") == "title", F.lit(float(sizes["title"][0]))).otherwise(F.lit(float(sizes["text"][0])))
     return df.select("field", "term", "df", F.round(F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
@@ -212,7 +217,7 @@ def _bm25(spark: SparkSession, sf_dir: str, scoped: bool, keyword: bool = False)
     if keyword:
         asked = asked.withColumn("rewritten", T.keyword_query(F.col("question"))).filter(T.is_distinct_variant(F.col("question"), F.col("rewritten"))).withColumn("question", F.col("rewritten"))
     asked = asked.select("qid", "scope", standard_terms(F.col("question")).alias("terms"))
-    hits = search.bm25(asked, retrieval.with_terms(chunks_of(spark, sf_dir)), {"title": 2.0, "text": 1.0}, k=CUT, tenant=TENANT, scoped=scoped)
+    hits = search.bm25(asked, _indexed(spark, sf_dir), {"title": 2.0, "text": 1.0}, k=CUT, tenant=TENANT, scoped=scoped)
     return hits.select("qid", "rank", "doc_id", "chunk_key", "score")
 
 

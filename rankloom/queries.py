@@ -245,12 +245,12 @@ def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.dense(_probes(spark, sf_dir), chunks_of(spark, sf_dir), k=CUT, k_chunks=50, scoped=False)
+    hits = search.dense(_probes(spark, sf_dir), chunks_of(spark, sf_dir), k=CUT, k_chunks=500, scoped=False)
     return hits.select("qid", "rank", "doc_id", "chunk_key", "score")
 
 
 def dense_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.dense(_probes(spark, sf_dir), chunks_of(spark, sf_dir), k=CUT, k_chunks=50, tenant=TENANT)
+    hits = search.dense(_probes(spark, sf_dir), chunks_of(spark, sf_dir), k=CUT, k_chunks=500, tenant=TENANT)
     return hits.select("qid", "rank", "doc_id", "chunk_key", "score")
 
 

@@ -3,12 +3,11 @@
 1. Each text's set of word triples is hashed; 256 minima are taken. Their two low bits are packed into 8 words; groups of 4 minima are hashed into 64 band keys.
 2. Texts with the same set are one class and go on as one representative.
 3. Representatives that share a band key meet in a join whose condition is the estimate from bit counts, corrected for chance collisions of two bits; only
-   pairs that may reach the threshold leave the join. A band key of more than ``BUCKET_ROWS`` texts, such as a standard paragraph makes, is no bucket itself: it is lengthened by each of the
-   next 24 band keys of its texts, and texts meet that share a lengthened key.
+   pairs that may reach the threshold leave the join. A band key of more than ``BUCKET_ROWS`` texts, such as a standard paragraph makes, is no bucket itself: all texts that hold a hot key
+   meet by the rarest triples that they share, where no pair at the threshold is lost (``_by_triples``).
 4. Those pairs are checked exactly on the sets of triples.
 
-At a similarity of 0.6 a pair shares no band with probability (1 - 0.6^4)^64 = 0.00014, and the estimate's margin of 0.17 is 4.5 standard deviations. A pair all of whose shared bands are
-hot needs two of them within 24 places of each other; at 0.6 that fails with a probability of about 0.002, at 0.7 below 0.00001.
+At a similarity of 0.6 a pair shares no band with probability (1 - 0.6^4)^64 = 0.00014, and the estimate's margin of 0.17 is 4.5 standard deviations. Hot bands add nothing to that.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ BANDS, ROWS, BITS = 64, 4, 2
 MINIMA = BANDS * ROWS
 WORDS = MINIMA * BITS // 64
 MARGIN = 0.17
-#: Rows of a band key that one task compares with each other; hotter keys are lengthened, and what is still larger is cut into blocks of this size.
+#: Rows of a band key that one task compares with each other; the texts of hotter keys meet by their triples, and what is still larger is cut into blocks of this size.
 BUCKET_ROWS = 1000
 #: So many longer keys are made of a hot one.
 LONGER = 24
@@ -156,28 +155,68 @@ def _counted(rows: DataFrame) -> DataFrame:
     return heat_join(rows, counts, ["band"])
 
 
-def _buckets(reps: DataFrame, bucket_rows: int, longer: int = LONGER) -> DataFrame:
-    """num, band, n: each representative under each key that it shares with others; hot keys give way to longer ones."""
-    met = stored(_counted(reps.select("num", F.posexplode("bands").alias("pos", "band"))), "shared")
+def _shared(reps: DataFrame) -> DataFrame:
+    """num, pos, band, n: each representative under each band key that it shares with others."""
+    return stored(_counted(reps.select("num", F.posexplode("bands").alias("pos", "band"))), "shared")
+
+
+def _buckets(reps: DataFrame, bucket_rows: int, longer: int = LONGER, met: DataFrame | None = None) -> DataFrame:
+    """num, band, n: each representative under each key that it shares with others; hot keys give way to longer ones, or with ``longer`` 0 to none. Longer keys do not hold all pairs of a
+    hot one, so the search takes none and finds those pairs by ``_by_triples``."""
+    met = _shared(reps) if met is None else met
     light = met.filter(F.col("n") <= bucket_rows).select("num", "band", "n")
     hot = met.filter(F.col("n") > bucket_rows)
-    if not hot.limit(1).count():
+    if not longer or not hot.limit(1).count():
         return light
     own = hot.select("num", "pos", "band").join(reps.select("num", "bands"), "num")
     places = F.transform(F.sequence(F.lit(1), F.lit(longer)), lambda j: F.xxhash64("band", F.element_at("bands", ((F.col("pos") + j) % BANDS + 1).cast("int"))))
     return light.unionByName(_counted(own.select("num", F.explode(places).alias("band"))).select("num", "band", "n"))
 
 
-def _candidates(reps: DataFrame, threshold: float, bucket_rows: int) -> DataFrame:
-    """Pairs a < b of row numbers that share a band key and whose estimate may reach the threshold; each pair once."""
+def _by_triples(sets: DataFrame, threshold: float) -> DataFrame:
+    """num, band, n, size, place, first: texts under the hashes of their own sets, such that every pair of them at or above the threshold shares one, first being true for the smaller text.
+
+    Hashes that others hold stand in one order for all texts, the commonest first. Let c be the common hashes of a pair at similarity t: the rarest of them has at least c - 1 before it in both
+    texts, c >= 2t / (1 + t) times the smaller set and c >= t times the larger. So only places from there on are kept: a standard paragraph's hashes stand before them unless the texts are
+    little else.
+    """
+    t = threshold - 1e-9
+    # Of an id's several texts each is ordered by itself.
+    sets = stored(sets.withColumn("row", F.xxhash64("num", "hashes")), "sets")
+    sizes = sets.select("row", "num", F.size("hashes").alias("size")).distinct()
+    placed = _counted(sets.select("row", F.explode("hashes").alias("band"))).withColumn("place", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("n"), "band")))
+    late = stored(placed.drop("n").join(sizes, "row").filter(F.col("place") >= F.ceil(F.col("size") * t)).drop("row"), "late")
+    return stored(_counted(late).withColumn("first", F.col("place") >= F.ceil(F.col("size") * (2 * t / (1 + t)))), "rare")
+
+
+def _meet(rows: DataFrame, reps: DataFrame, threshold: float, bucket_rows: int, test: Column, first: Column | None = None) -> DataFrame:
+    """Pairs a, b of row numbers that share a band key, pass the test on the columns a_.. and b_.. of both, and whose estimate may reach the threshold. Only rows with ``first`` are a."""
     sig = [f"s{w}" for w in range(WORDS)]
-    rows = _buckets(reps, bucket_rows).withColumn("blocks", F.ceil(F.col("n") / bucket_rows).cast("int")).join(reps.select("num", *sig), "num")
+    kept = [c for c in rows.columns if c not in ("band", "n")] + sig
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / bucket_rows).cast("int")).join(reps.select("num", *sig), "num")
     # Every row stands in one block of its bucket and meets all rows of the bucket there: a large bucket becomes many tasks' work.
-    left = rows.select("band", F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int").alias("block"), F.col("num").alias("a"), *[F.col(s).alias(f"a_{s}") for s in sig])
-    right = rows.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("num").alias("b"), *[F.col(s).alias(f"b_{s}") for s in sig])
+    block = F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int")
+    left = (rows if first is None else rows.filter(first)).select("band", block.alias("block"), *[F.col(c).alias(f"a_{c}") for c in kept])
+    right = rows.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"b_{c}") for c in kept])
     near = estimate([left[f"a_{s}"] for s in sig], [right[f"b_{s}"] for s in sig]) >= threshold - MARGIN
-    met = left.join(right, (left["band"] == right["band"]) & (left["block"] == right["block"]) & (left["a"] < right["b"]) & near)
-    return met.select("a", "b").distinct()
+    met = left.join(right, (left["band"] == right["band"]) & (left["block"] == right["block"]) & test & near)
+    return met.select(F.least("a_num", "b_num").alias("a"), F.greatest("a_num", "b_num").alias("b"))
+
+
+def _candidates(reps: DataFrame, texts: DataFrame, width: int, threshold: float, bucket_rows: int) -> DataFrame:
+    """Pairs a < b of row numbers that share a band key and whose estimate may reach the threshold; each pair once. Of the pairs that share hot keys only, those whose sets reach it."""
+    met = _shared(reps)
+    pairs = _meet(_buckets(reps, bucket_rows, 0, met), reps, threshold, bucket_rows, F.col("a_num") < F.col("b_num"))
+    hot = met.filter(F.col("n") > bucket_rows).select("num").distinct()
+    if hot.limit(1).count():
+        held = texts.join(reps.join(hot, "num", "left_semi").select("id").distinct(), "id", "left_semi")
+        rows = _by_triples(_sets(held, width).select(F.xxhash64("id").alias("num"), "hashes"), threshold)
+        # The rarest common hash also bounds what is common to the two texts.
+        t = threshold - 1e-9
+        may = F.least("a_place", "b_place") * (1 + t) >= (F.col("a_size") + F.col("b_size")) * t
+        ordered = F.struct("a_size", "a_num") < F.struct(F.col("b_size").alias("a_size"), F.col("b_num").alias("a_num"))
+        pairs = pairs.unionByName(_meet(rows, reps, threshold, bucket_rows, (F.col("a_num") != F.col("b_num")) & may & ordered, F.col("first")))
+    return pairs.distinct()
 
 
 class NearDuplicates:
@@ -203,7 +242,7 @@ class NearDuplicates:
         copies = stored(held.filter("id <> rep").select("id", "same"), "copies")
         reps = stored(heat_join(signed, copies, ["id", "same"], "left_anti").drop("same", "exact"), "reps")
         self.members = held.select("id", "rep", "exact").distinct()
-        pairs = cut(_candidates(reps, threshold, bucket_rows))
+        pairs = cut(_candidates(reps, texts, width, threshold, bucket_rows))
         used = pairs.select(F.col("a").alias("num")).union(pairs.select(F.col("b").alias("num"))).distinct()
         wanted = reps.select("num", "id").join(used, "num").select("id").distinct()
         sets = _sets(texts.join(wanted, "id", "left_semi"), width).dropDuplicates(["id"]).withColumn("num", F.xxhash64("id"))

@@ -74,6 +74,57 @@ def test_hot_band_is_no_quadratic_bucket(spark):
     assert {r["num"] for r in neardup._buckets(reps, 10).filter("n = 50").collect()} == set(range(50))
 
 
+def test_pair_that_shares_one_hot_band_alone(spark):
+    rng = random.Random(8)
+    paragraph = [f"p{i}" for i in range(47)]
+    ends = [[f"e{k}x{i}" for i in range(15)] for k in range(200)]
+    tails = [[f"t{k}x{i}" for i in range(rng.randrange(60, 90))] for k in range(300)]
+    shingle = neardup.Shingler(3)
+    keys = neardup.band_keys(neardup.minima([shingle(" ".join(paragraph + w)) for w in ends + tails]))
+    shared = keys[:200, None] == keys[None, :200]
+    one = shared.sum(2) == 1
+    holders = (keys[:, None] == keys[None, :200]).sum(0)  # of each key of the first 200
+    i, j = next((i, j) for i, j in np.argwhere(one) if i < j and holders[i, shared[i, j].argmax()] > 6)
+    texts = {"a": ends[i], "b": ends[j]} | {f"t{k:03d}": w for k, w in enumerate(tails)}
+    data = [(key, " ".join(paragraph + w)) for key, w in texts.items()]
+    sets = {key: shingles(None, x, 3) for key, x in data}
+    assert {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])} == {("a", "b")}
+    found = neardup.NearDuplicates(spark.createDataFrame(data, "id string, text string"), "id", "text", threshold=0.6, width=3, bucket_rows=4)
+    assert [tuple(r) for r in found.pairs().collect()] == [("a", "b")]
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.75, 1.0])
+def test_triples_lose_no_pair_and_leave_the_standard_paragraph(spark, threshold):
+    rng = np.random.default_rng(6)
+    sets = {}
+    for num in range(300):
+        base = np.random.default_rng(num // 5).permutation(120)[: 40 + num // 5]  # groups over few hashes, of all sizes
+        own = base[rng.random(len(base)) < rng.choice([0.8, 0.95, 1.0])]
+        sets[num] = np.unique(np.concatenate([own, 1000 + np.arange(rng.integers(0, 30))]))
+    for num in range(300, 340):  # half a paragraph, half their own
+        sets[num] = np.concatenate([5000 + np.arange(50), 10_000 + 100 * num + np.arange(50)])
+    rows = neardup._by_triples(spark.createDataFrame([(k, v.tolist()) for k, v in sets.items()], "num long, hashes array<long>"), threshold).collect()
+    firsts, others = {}, {}
+    for r in rows:
+        others.setdefault(r["band"], set()).add(r["num"])
+        if r["first"]:
+            firsts.setdefault(r["band"], set()).add(r["num"])
+    met = {(a, b) for band, nums in firsts.items() for a in nums for b in others[band]}
+    like = {(a, b): len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a in sets for b in sets if a < b}
+    want = {tuple(sorted(p, key=lambda k: (len(sets[k]), k))) for p, s in like.items() if s >= threshold}
+    assert want <= met and (threshold == 1 or len(want) > 100)
+    if threshold >= 0.6:
+        assert not any(r["num"] >= 300 for r in rows)
+
+
+def test_hot_texts_against_brute_force(spark):
+    data = corpus(7)
+    found = neardup.NearDuplicates(spark.createDataFrame(data, "id string, title string, text string, a string"), "id", "text", "title", 0.6, 3, 1)
+    sets = {i: s for i, t, x, _ in data if i and x and x.strip() and (s := shingles(t, x, 3))}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    assert {tuple(r) for r in found.pairs().collect()} == want
+
+
 def test_equal_sets_of_different_texts_are_all_paired(spark):
     words = " ".join(f"w{i}" for i in range(30))
     data = [(f"a{i}", words, "t") for i in range(6)] + [(f"b{i}", words.upper() + "!" * i, "t") for i in range(3)]

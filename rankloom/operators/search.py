@@ -10,11 +10,15 @@ compared; ties go by document, then chunk.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K1, B = 2.2, 1.0
@@ -188,6 +192,113 @@ def _postings(lists: pd.Series, mean: float, k1: float, b: float) -> tuple[dict,
     return {w: (int(bounds[t]), int(bounds[t + 1])) for w, t in terms.items()}, texts[order], impact[order]
 
 
+#: Questions and names of items that a task holds at most, and questions that are compared at a time.
+HELD_QUESTIONS, HELD_NAMES, TOGETHER = 32_768, 1 << 21, 256
+
+
+def _grid(spark: SparkSession, items: int, item_bytes: int, questions: int, question_bytes: int, found_bytes: int) -> tuple[int, int]:
+    """(slices of the items, blocks of the questions): each pair is one task, which holds its questions and takes its items as a stream. Every slice is copied for each
+    block and every block for each slice, whose results add up; of the grids with enough tasks the one that moves the fewest bytes."""
+    tasks = min(2 * spark.sparkContext.defaultParallelism, items * questions // (1 << 22) + 1)
+    least = max(1, -(-questions // HELD_QUESTIONS))
+    grids = [(max(-(-tasks // b), -(-items // HELD_NAMES)), b) for b in range(least, max(least, tasks) + 1)]
+    return min(grids, key=lambda g: g[1] * items * item_bytes + g[0] * questions * (question_bytes + found_bytes))
+
+
+def _access() -> Column:
+    """What decides who sees an item, as one text; few texts serve many items."""
+    return F.to_json(F.struct("tenant", "source", "allowed", "denied"))
+
+
+@lru_cache(100_000)
+def _sees(scope: frozenset, access: str, tenant: str) -> bool:
+    """``acl.visible`` for one scope and one text of ``_access``."""
+    if not scope:
+        return True
+    a, labels = json.loads(access), {f"source:{s}" for s in scope}
+    return a.get("tenant") == tenant and a.get("source") in scope and bool(labels & set(a.get("allowed") or ())) and not labels & set(a.get("denied") or ())
+
+
+def _units(lists: pa.ListArray, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors of this length that have a direction, and these vectors at length one."""
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), -1))
+    at = np.flatnonzero(lengths == dims)
+    values = np.asarray(pc.cast(lists.take(pa.array(at)).flatten(), pa.float64()), np.float64).reshape(len(at), dims)  # null elements become nan
+    with np.errstate(invalid="ignore", over="ignore"):
+        size = np.sqrt((values * values).sum(1))
+    ok = np.isfinite(size) & (size > 0)
+    return at[ok], values[ok] / size[ok, None]
+
+
+def _where(flags: np.ndarray) -> np.ndarray:
+    """np.flatnonzero for flags of which few are set: eight are looked at as one number."""
+    whole = len(flags) // 8 * 8
+    some = (np.flatnonzero(flags[:whole].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return np.concatenate([some[flags[some]], whole + np.flatnonzero(flags[whole:])])
+
+
+class _Nearest:
+    """The nearest items so far of up to TOGETHER questions of one scope and length.
+
+    Kept of each question, in the order of the ranking: items until k documents have been seen, at most k_chunks. No later one can belong to the answer, whatever other
+    tasks find. bound: the score that an item must reach to come in.
+    """
+
+    def __init__(self, rows: np.ndarray, q: np.ndarray, k: int, k_chunks: int):
+        self.rows, self.q, self.q32, self.k, self.k_chunks = rows, q, q.astype(np.float32), k, k_chunks
+        self.bound = np.full(len(rows), -np.inf)
+        self.who, self.place, self.doc = (np.zeros(0, np.int64) for _ in range(3))
+        self.score = np.zeros(0)
+        self.new: list[tuple] = []
+        self.waiting, self.step = 0, 1024
+        # Scores of single precision differ from the exact ones by less than the products' rounding; half a unit of the sixth digit is lost by rounding.
+        self.slack = (q.shape[1] + 8) * 1.2e-7 + 1.5e-6
+
+    def see(self, x: np.ndarray, x32: np.ndarray, place: np.ndarray, doc: np.ndarray) -> None:
+        """Items in the order of their documents and keys; place and doc count up over the whole stream."""
+        at = 0
+        while at < len(x):
+            to = min(len(x), at + self.step)
+            near = self.q32 @ x32[at:to].T
+            least = self.bound - self.slack
+            if (open_ := np.flatnonzero(self.bound == -np.inf)).size:
+                starts = np.flatnonzero(np.concatenate([[True], doc[at + 1 : to] != doc[at : to - 1]]))
+                if len(starts) > self.k:
+                    tops = np.maximum.reduceat(near[open_], starts, axis=1)
+                    least[open_] = np.partition(tops, len(starts) - self.k, axis=1)[:, len(starts) - self.k] - 2 * self.slack
+            hit = _where((near >= least.astype(np.float32)[:, None]).ravel())
+            if len(hit):
+                who, i = np.divmod(hit, to - at)
+                i += at
+                score = np.concatenate([np.einsum("ij,ij->i", self.q[who[c : c + 16384]], x[i[c : c + 16384]]) for c in range(0, len(hit), 16384)])
+                self.new.append((who, place[i], doc[i], np.round(score, 6)))
+                self.waiting += len(hit)
+            if self.waiting > max(len(self.who) // 2, 2 * len(self.rows)):
+                self.merge()
+            at, self.step = to, min(4096, 2 * self.step)
+
+    def merge(self) -> None:
+        if not self.new:
+            return
+        who, place, doc, score = (np.concatenate([old, *new]) for old, new in zip((self.who, self.place, self.doc, self.score), zip(*self.new, strict=True), strict=True))
+        self.new, self.waiting = [], 0
+        order = np.lexsort((place, -score, who))
+        who, place, doc, score = who[order], place[order], doc[order], score[order]
+        starts = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+        begin = np.repeat(starts, np.diff(np.append(starts, len(who))))
+        by_doc = np.lexsort((doc, who))  # stable: the first of a document is its best
+        first = np.zeros(len(who), bool)
+        first[by_doc[np.concatenate([[True], (who[by_doc][1:] != who[by_doc][:-1]) | (doc[by_doc][1:] != doc[by_doc][:-1])])]] = True
+        seen = np.cumsum(first)
+        before = seen - first - (seen - first)[begin]
+        rank = np.arange(len(who)) - begin
+        keep = (before < self.k) & (rank < self.k_chunks)
+        self.who, self.place, self.doc, self.score = who[keep], place[keep], doc[keep], score[keep]
+        last = np.flatnonzero(np.concatenate([self.who[1:] != self.who[:-1], [True]]))
+        full = ((before + first)[keep][last] >= self.k) | (rank[keep][last] + 1 >= self.k_chunks)
+        self.bound[self.who[last[full]]] = self.score[last[full]]
+
+
 def dense(
     questions: DataFrame, chunks: DataFrame, k: int = 50, k_chunks: int = 500, tenant: str = "tenant_redwood", scoped: bool = True,
     route: str = "dense", route_ord: int = 0, weight: float = 0.5, shard_items: int = SHARD_ITEMS,
@@ -195,54 +306,100 @@ def dense(
     """Exact cosine: the k_chunks nearest chunks of each question among those it may see, then the best chunk of each document, then k documents.
 
     questions: qid, vector (array of numbers), scope. chunks: chunk_key, doc_id, tenant, source, allowed, denied, vector. Vectors of zeros, with nulls, or of another length than
-    the question's have no direction and no score. score is the cosine.
+    the question's have no direction and no score. score is the cosine. Products in single precision leave out what cannot come in, the rest are exact. shard_items: items compared at a time.
     """
     if k <= 0 or k_chunks <= 0:
         raise ValueError("k and k_chunks must be positive")
-    items = chunks.filter(F.col("doc_id").isNotNull() & F.col("vector").isNotNull()).select("chunk_key", "doc_id", "tenant", "source", "allowed", "denied", "vector")
-    scope = F.col("scope") if scoped else F.array().cast("array<string>")
+    items = chunks.filter(F.col("doc_id").isNotNull() & F.col("vector").isNotNull()).select("chunk_key", "doc_id", (_access() if scoped else F.lit("{}")).alias("access"), "vector")
+    scope = F.array_sort(F.array_distinct(F.filter(F.coalesce("scope", F.array().cast("array<string>")), lambda s: s.isNotNull()))) if scoped else F.array().cast("array<string>")
     ready = questions.filter("vector is not null").select("qid", scope.alias("scope"), F.col("vector").cast("array<double>").alias("q_vector"))
-    shards = _shards(items, shard_items)
-
-    def unit(vectors: list, dims: int) -> tuple[np.ndarray, np.ndarray]:
-        ok = np.array([len(v) == dims and not any(x is None for x in v) for v in vectors], bool)
-        x = np.zeros((len(vectors), dims))
-        if ok.any():
-            x[ok] = np.stack([np.asarray(v, np.float64) for v, o in zip(vectors, ok, strict=True) if o])
-        size = np.sqrt((x * x).sum(1))
-        ok &= np.isfinite(size) & (size > 0)
-        x[~ok] = 0
-        return x / np.where(ok, size, 1.0)[:, None], ok
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, units = None, {}
-        for parts, asked in _collect(batches):
-            if rows is None:
-                if not parts:
-                    return
-                rows = pd.concat(parts, ignore_index=True).sort_values(["doc_id", "chunk_key"], kind="stable", ignore_index=True)
-                docs, keys = rows["doc_id"].to_numpy(), rows["chunk_key"].to_numpy()
-                scopes = _Scopes(rows, tenant)
-            for at in range(0, len(asked), 256):
-                part = asked.iloc[at : at + 256]
-                out: list[tuple] = []
-                for dims, same in part.groupby(part["q_vector"].map(len)):
-                    if dims not in units:
-                        units[dims] = unit(rows["vector"].tolist(), dims)
-                    x, ok = units[dims]
-                    q, q_ok = unit(same["q_vector"].tolist(), dims)
-                    every = np.round(q @ x.T, 6)
-                    for j, (place, scope_) in enumerate(zip(part.index.get_indexer(same.index), same["scope"], strict=True)):
-                        if not q_ok[j]:
-                            continue
-                        live = np.flatnonzero(ok & scopes(scope_))
-                        if len(live) > k_chunks:
-                            s = every[j, live]
-                            live = live[s >= np.partition(s, len(s) - k_chunks)[len(s) - k_chunks]]
-                        out.append((place, live, every[j, live]))
-                yield from _frame(out, part["qid"].to_numpy(), docs, keys)
-
-    found = _streams(items, ready, shards, F.xxhash64("doc_id", "chunk_key"), search, "qid string, doc_id string, chunk_key string, score double")
+    n, dims = items.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).collect()[0]
+    slices, blocks = _grid(items.sparkSession, n, 4 * dims + 60, ready.count(), 8 * dims + 40, 50 * k)
+    k_kept = min(k, k_chunks)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        groups: list[tuple[int, frozenset, list[_Nearest]]] | None = None
+        waiting, count = [], 0
+        names: list[tuple[int, pa.Array, pa.Array]] = []
+        at, doc_at, last_doc = 0, 0, None
+
+        def ask() -> list[tuple[int, frozenset, list[_Nearest]]]:
+            if not held:
+                return []
+            table = pa.Table.from_batches(held).combine_chunks()
+            vectors, out = table["q_vector"].combine_chunks(), []
+            scopes = [frozenset(s) for s in table["scope"].to_pylist()]
+            for dims_ in {int(x) for x in np.unique(np.asarray(pc.list_value_length(vectors))) if x > 0}:
+                rows, q = _units(vectors, dims_)
+                by: dict[frozenset, list[int]] = {}
+                for j, r in enumerate(rows):
+                    by.setdefault(scopes[r], []).append(j)
+                for scope_, js in by.items():
+                    out.append((dims_, scope_, [_Nearest(rows[part], q[part], k_kept, k_chunks) for c in range(0, len(js), TOGETHER) if len(part := js[c : c + TOGETHER])]))
+            return out
+
+        def take() -> None:
+            nonlocal waiting, count, at, doc_at, last_doc
+            block = pa.Table.from_batches(waiting).combine_chunks()
+            waiting, count = [], 0
+            docs = block["doc_id"].combine_chunks()
+            fresh = np.ones(len(docs), bool)
+            fresh[0] = docs[0].as_py() != last_doc
+            if len(docs) > 1:
+                fresh[1:] = np.asarray(pc.not_equal(docs[1:], docs[:-1]))
+            doc = doc_at + np.cumsum(fresh)
+            doc_at, last_doc = int(doc[-1]), docs[-1].as_py()
+            place = at + np.arange(len(docs))
+            at += len(docs)
+            names.append((int(place[0]), docs, block["chunk_key"].combine_chunks()))
+            codes = block["access"].combine_chunks().dictionary_encode()
+            kinds, code = codes.dictionary.to_pylist(), np.asarray(codes.indices)
+            vectors = block["vector"].combine_chunks()
+            for dims_ in {d for d, _, _ in groups}:
+                rows, x = _units(vectors, dims_)
+                x32 = x.astype(np.float32)
+                for d, scope_, parts in groups:
+                    if d != dims_ or not len(rows):
+                        continue
+                    sees = np.array([_sees(scope_, a, tenant) for a in kinds], bool)
+                    if sees.all():
+                        mine, mine32, own = x, x32, rows
+                    else:
+                        inside = np.flatnonzero(sees[code[rows]])
+                        mine, mine32, own = x[inside], x32[inside], rows[inside]
+                    for part in parts:
+                        part.see(mine, mine32, place[own], doc[own])
+
+        for batch in batches:
+            kind = np.asarray(batch.column(batch.schema.get_field_index("kind")))
+            if (asked := np.flatnonzero(kind == 0)).size:
+                held.append(pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).take(pa.array(asked)) for c in ("qid", "scope", "q_vector")], ["qid", "scope", "q_vector"]))
+            if (given := np.flatnonzero(kind == 1)).size:
+                if groups is None:
+                    groups = ask()
+                waiting.append(pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).take(pa.array(given)) for c in ("chunk_key", "doc_id", "access", "vector")], ["chunk_key", "doc_id", "access", "vector"]))
+                count += len(given)
+                if count >= shard_items:
+                    take()
+        if waiting:
+            take()
+        if not groups or not names:
+            return
+        qids = pa.chunked_array([b.column(0) for b in held]).combine_chunks()
+        docs, keys = (pa.chunked_array([x[j] for x in names]) for j in (1, 2))
+        for _, _, parts in groups:
+            for part in parts:
+                part.merge()
+                if len(part.who):
+                    places = pa.array(part.place)
+                    yield from pa.table({"qid": qids.take(pa.array(part.rows[part.who])), "doc_id": docs.take(places), "chunk_key": keys.take(places), "score": pa.array(part.score)}).combine_chunks().to_batches()
+
+    cell = lambda a, b: (a * blocks + b).cast("int")
+    left = ready.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda s: cell(s, F.col("_b"))))).drop("_b").withColumn("kind", F.lit(0))
+    right = items.withColumn("_s", F.pmod(F.xxhash64("doc_id", "chunk_key"), F.lit(slices))).withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: cell(F.col("_s"), b)))).drop("_s").withColumn("kind", F.lit(1))
+    rows = left.unionByName(right, allowMissingColumns=True).repartitionById(slices * blocks, F.col("cell")).sortWithinPartitions("cell", "kind", "doc_id", "chunk_key")
+    found = rows.mapInArrow(search, "qid string, doc_id string, chunk_key string, score double")
     near = Window.partitionBy("qid").orderBy(F.col("score").desc(), "doc_id", "chunk_key")
     found = found.withColumn("_n", F.row_number().over(near)).filter(F.col("_n") <= k_chunks)
     best = found.groupBy("qid", "doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "chunk_key")).alias("m")).select("qid", "doc_id", F.col("m.chunk_key").alias("chunk_key"), (-F.col("m.s")).alias("score"))

@@ -13,7 +13,7 @@ from rankloom.functions.analysis import standard_terms
 from rankloom.operators import acl, chunking, fusion, metrics, orphans, search
 from rankloom.operators.current import current_rows
 from rankloom.plans import retrieval
-from rankloom.shared import stored, table, work_path
+from rankloom.shared import fits, small, stored, table, work_path
 from rankloom.sources import readers, sinks
 from rankloom.streaming import ingest
 
@@ -36,16 +36,24 @@ def questions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunk table by key, each key once with the row of its latest indexing."""
-    rows = table(spark, sf_dir, "chunks")
-    names = ["benchmarkDocId", "title", "textContent", "sourceType", "tenantId", "allowedGroupIds", "deniedGroupIds", "vector"]
-    last = F.max_by(F.struct(*names), F.col("indexedAt")).alias("r")
-    return rows.filter("chunk_key is not null").groupBy("chunk_key").agg(last).select(
-        "chunk_key", F.col("r.benchmarkDocId").alias("doc_id"), F.coalesce("r.title", F.lit("")).alias("title"), F.coalesce("r.textContent", F.lit("")).alias("text"),
-        F.coalesce("r.tenantId", F.lit("")).alias("tenant"), F.coalesce("r.sourceType", F.lit("unknown")).alias("source"), F.col("r.allowedGroupIds").alias("allowed"),
-        F.col("r.deniedGroupIds").alias("denied"), F.col("r.vector").alias("vector"),
-    )
+def chunks_of(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = (), keys: DataFrame | None = None) -> DataFrame:
+    """The chunk table by key, each key once with the row of its latest indexing. only: the columns wanted, else all; keys: a table of the chunk_keys wanted, else all.
+
+    Few keys come twice, and only their rows move, unless the keys themselves are too many for a broadcast."""
+    made = {
+        "doc_id": F.col("benchmarkDocId"), "title": F.coalesce("title", F.lit("")), "text": F.coalesce("textContent", F.lit("")), "tenant": F.coalesce("tenantId", F.lit("")),
+        "source": F.coalesce("sourceType", F.lit("unknown")), "allowed": F.col("allowedGroupIds"), "denied": F.col("deniedGroupIds"), "vector": F.col("vector"),
+    }
+    names = [n for n in made if not only or n in only]
+    raw = table(spark, sf_dir, "chunks").filter("chunk_key is not null")
+    if keys is not None:
+        raw = raw.join(small(keys), "chunk_key", "left_semi")
+    rows = raw.select("chunk_key", "indexedAt", *[made[n].alias(n) for n in names])
+    last = lambda df: df.groupBy("chunk_key").agg(F.max_by(F.struct(*names), F.struct("indexedAt")).alias("r")).select("chunk_key", "r.*")
+    again = stored(raw.groupBy("chunk_key").count().filter("count > 1").select("chunk_key"), "again")
+    if not fits(again):
+        return last(rows)
+    return rows.join(F.broadcast(again), "chunk_key", "left_anti").select("chunk_key", *names).unionByName(last(rows.join(F.broadcast(again), "chunk_key", "left_semi")))
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +249,10 @@ def bm25_english_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = table(spark, sf_dir, "vector_probes").select("chunk_key").distinct()
-    return chunks_of(spark, sf_dir).join(keys, "chunk_key").select(F.col("chunk_key").alias("qid"), "vector", F.array("source").alias("scope"))
+    return chunks_of(spark, sf_dir, ("source", "vector"), keys).select(F.col("chunk_key").alias("qid"), "vector", F.array("source").alias("scope"))
+
+
+ACCESS = ("doc_id", "tenant", "source", "allowed", "denied")
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +261,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.dense(_probes(spark, sf_dir), chunks_of(spark, sf_dir), k=CUT, k_chunks=500, tenant=TENANT)
+    hits = search.dense(_probes(spark, sf_dir), chunks_of(spark, sf_dir, (*ACCESS, "vector")), k=CUT, k_chunks=500, tenant=TENANT)
     return hits.select("qid", "rank", "doc_id", "chunk_key", "score")
 
 

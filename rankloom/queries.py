@@ -256,7 +256,7 @@ ACCESS = ("doc_id", "tenant", "source", "allowed", "denied")
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.dense(_probes(spark, sf_dir), chunks_of(spark, sf_dir), k=CUT, k_chunks=500, scoped=False)
+    hits = search.dense(_probes(spark, sf_dir), chunks_of(spark, sf_dir, (*ACCESS, "vector")), k=CUT, k_chunks=500, scoped=False)
     return hits.select("qid", "rank", "doc_id", "chunk_key", "score")
 
 

@@ -1,8 +1,8 @@
 """Retrieval routes: BM25 over several fields and exact cosine, each for all questions at once.
 
-Items are cut into shards by a hash; a shard's items come first in its task and its questions follow as a stream of any length, so memory holds one shard and one
-batch of questions. Collection-wide statistics come from Spark aggregates and travel with the query terms. Each shard returns its best
-documents per question (all ties included); one window over these makes the ranking.
+Items are cut into slices and questions into blocks by hashes; the task of a slice and a block holds its questions and takes its items as a stream. What a question has
+found bounds what later items must reach. Collection-wide statistics come from Spark aggregates and travel with the query terms. Each task returns what can be among a
+question's best; one window over these makes the ranking.
 
 Every route returns ``hits``: qid, route, route_ord, weight, rank, doc_id, chunk_key, score. Scores are rounded to six digits before they are
 compared; ties go by document, then chunk.
@@ -11,11 +11,10 @@ compared; ties go by document, then chunk.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,81 +25,12 @@ SHARD_ITEMS = 8192
 HITS = ["qid", "route", "route_ord", "weight", "rank", "doc_id", "chunk_key", "score"]
 
 
-def _shards(items: DataFrame, shard_items: int) -> int:
-    """As many as keep a shard within its size, and as many as there are cores while that leaves each 512 items."""
-    n = items.count()
-    return max(1, -(-n // shard_items), min(items.sparkSession.sparkContext.defaultParallelism, n // 512))
-
-
-def _streams(items: DataFrame, questions: DataFrame, shards: int, shard_of: Column, search: Callable, schema: str) -> DataFrame:
-    """Rows of both tables side by side in one task per shard: items (kind 0), then all questions (kind 1)."""
-    left = items.withColumn("shard", F.pmod(shard_of, F.lit(shards)).cast("int")).withColumn("kind", F.lit(0))
-    right = questions.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("kind", F.lit(1))
-    rows = left.unionByName(right, allowMissingColumns=True)
-    # Without a copy for each shard the questions would have to be broadcast, and they grow.
-    return rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind").mapInPandas(search, schema)
-
-
-def _frame(found: list[tuple], qids: np.ndarray, docs: np.ndarray, keys: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Rows of (question's place, items, scores)."""
-    if found:
-        at = np.concatenate([i for _, i, _ in found]).astype(np.int64)
-        who = np.repeat([j for j, _, _ in found], [len(i) for _, i, _ in found]).astype(np.int64)
-        yield pd.DataFrame({"qid": qids[who], "doc_id": docs[at], "chunk_key": keys[at], "score": np.concatenate([s for _, _, s in found])})
-
-
-def _best(score: np.ndarray, starts: np.ndarray, owner: np.ndarray, k: int) -> np.ndarray:
-    """Items that hold a document's best score (the first of equals), of the k best documents and those that tie with the last.
-    Items are sorted by document and chunk; starts are the documents' first items, owner is each item's document."""
-    top = np.maximum.reduceat(score, starts)
-    live = top[top > -np.inf]
-    if not len(live):
-        return np.zeros(0, np.int64)
-    bound = np.partition(live, len(live) - k)[len(live) - k] if len(live) > k else live.min()
-    at = np.flatnonzero(score >= bound)
-    at = at[score[at] == top[owner[at]]]
-    return at[np.concatenate([[True], owner[at[1:]] != owner[at[:-1]]])]
-
-
-class _Scopes:
-    """Which items of a shard a scope sees; one mask per distinct scope."""
-
-    def __init__(self, rows: pd.DataFrame, tenant: str):
-        self.tenant, self.rows, self.known = tenant, rows, {}
-        self.groups = [(set(a if a is not None else ()), set(d if d is not None else ())) for a, d in zip(rows["allowed"], rows["denied"], strict=True)]
-
-    def __call__(self, scope: object) -> np.ndarray:
-        key = frozenset(s for s in (scope if scope is not None else ()) if s is not None)
-        if key not in self.known:
-            if len(self.known) > 2000:
-                self.known.clear()
-            labels = {f"source:{s}" for s in key}
-            if not key:
-                mask = np.ones(len(self.rows), bool)
-            else:
-                fits = (self.rows["tenant"] == self.tenant).to_numpy() & self.rows["source"].isin(key).to_numpy()
-                mask = np.array([bool(f and a & labels and not d & labels) for f, (a, d) in zip(fits, self.groups, strict=True)], bool)
-            self.known[key] = mask
-        return self.known[key]
-
-
 def _ranked(found: DataFrame, route: str, route_ord: int, weight: float, k: int) -> DataFrame:
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "doc_id", "chunk_key")
     out = found.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
     return out.select("qid", F.lit(route).alias("route"), F.lit(route_ord).alias("route_ord"), F.lit(float(weight)).alias("weight"), "rank", "doc_id", "chunk_key", "score")
 
 
-def _collect(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[pd.DataFrame], pd.DataFrame]]:
-    """Batches of questions with the items that came before them; the list is filled before the first batch of questions."""
-    items: list[pd.DataFrame] = []
-    for batch in batches:
-        kind = batch["kind"].to_numpy()
-        if (kind == 0).any():
-            items.append(batch[kind == 0])
-        if (kind == 1).any():
-            yield items, batch[kind == 1]
-
-
 def term_statistics(chunks: DataFrame, fields: dict[str, str]) -> tuple[DataFrame, dict[str, tuple[int, float]]]:
     """(field, term, df) over all chunks, and per field the number of chunks and their mean length. fields: name -> column of term arrays."""
     each = None
@@ -113,7 +43,7 @@ def term_statistics(chunks: DataFrame, fields: dict[str, str]) -> tuple[DataFram
 
 def bm25(
     questions: DataFrame, chunks: DataFrame, fields: dict[str, float], k: int = 50, k1: float = K1, b: float = B, tenant: str = "tenant_redwood",
-    scoped: bool = True, route: str = "bm25", route_ord: int = 1, weight: float = 1.0, shard_items: int = SHARD_ITEMS,
+    scoped: bool = True, route: str = "bm25", route_ord: int = 1, weight: float = 1.0, shard_items: int = 1 << 17,
 ) -> DataFrame:
     """Best-fields BM25: score = the largest, over fields, of boost * sum of qtf * idf * (k1 + 1) * tf / (tf + k1 * (1 - b + b * length / mean)).
 
@@ -132,75 +62,270 @@ def bm25(
     weighted = met.select("qid", F.struct("field", "term", gain.alias("gain")).alias("t")).groupBy("qid").agg(F.sort_array(F.collect_list("t")).alias("t"))
     scopes = questions.groupBy("qid").agg(F.first("scope").alias("scope")) if scoped else None
     ready = weighted.join(scopes, "qid") if scoped else weighted.withColumn("scope", F.array().cast("array<string>"))
-    ready = ready.select("qid", "scope", F.transform("t", lambda x: x["field"]).alias("q_field"), F.transform("t", lambda x: x["term"]).alias("q_term"), F.transform("t", lambda x: x["gain"]).alias("q_gain"))
-    items = chunks.filter(F.col("doc_id").isNotNull()).select("chunk_key", "doc_id", "tenant", "source", "allowed", "denied", *columns.values())
-    shards = _shards(items, shard_items)
-    boosts, means = dict(fields), {f: m for f, (_, m) in sizes.items()}
-    names = list(fields)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = None
-        for parts, asked_ in _collect(batches):
-            if index is None:
-                if not parts:
+    at = F.create_map(*[x for i, f in enumerate(fields) for x in (F.lit(f), F.lit(i))])
+    scope = F.array_sort(F.array_distinct(F.filter(F.coalesce("scope", F.array().cast("array<string>")), lambda s: s.isNotNull())))
+    ready = ready.select("qid", scope.alias("scope"), F.transform("t", lambda x: at[x["field"]]).alias("q_field"), F.transform("t", lambda x: x["term"]).alias("q_term"), F.transform("t", lambda x: x["gain"]).alias("q_gain"))
+    joined = [F.array_join(c, _BETWEEN).alias(c) for c in columns.values()]
+    items = chunks.filter(F.col("doc_id").isNotNull()).select("chunk_key", "doc_id", (_access() if scoped else F.lit("{}")).alias("access"), *joined)
+    slices, blocks = _grid(items.sparkSession, items.count(), 300, ready.count(), 400, 200 * k, HELD_HITS // k)
+    boosts, means = list(fields.values()), [sizes[f][1] for f in fields]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = _Names()
+        asked: list[pa.RecordBatch] = []
+        best: _Matches | None = None
+        parts: list[_Tokens] = []
+        for batch in batches:
+            kind = np.asarray(batch["kind"])
+            if (of := np.flatnonzero(kind == 0)).size:
+                asked.append(batch.select(["qid", "scope", "q_field", "q_term", "q_gain"]).take(pa.array(of)))
+            if (of := np.flatnonzero(kind == 1)).size:
+                if not asked:
                     return
-                rows = pd.concat(parts, ignore_index=True).sort_values(["doc_id", "chunk_key"], kind="stable", ignore_index=True)
-                docs = rows["doc_id"].to_numpy()
-                starts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
-                owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(docs))))
-                index = {f: _postings(rows[f"{f}_terms"], means[f], k1, b) for f in names}
-                scopes_ = _Scopes(rows, tenant)
-                keys = rows["chunk_key"].to_numpy()
-            out: list[tuple] = []
-            for j, (scope, qf, qt, qg) in enumerate(asked_[["scope", "q_field", "q_term", "q_gain"]].itertuples(index=False)):
-                total = np.zeros(len(docs))
-                for f in names:
-                    part = np.zeros(len(docs))
-                    terms, texts, impact = index[f]
-                    for field, term, gain_ in zip(qf, qt, qg, strict=True):
-                        if field == f and (at := terms.get(term)) is not None:
-                            part[texts[at[0] : at[1]]] += gain_ * impact[at[0] : at[1]]
-                    np.maximum(total, boosts[f] * part, out=total)
-                score = np.where((total > 0) & scopes_(scope), np.round(total, 6), -np.inf)
-                at = _best(score, starts, owner, k)
-                out.append((j, at, score[at]))
-            yield from _frame(out, asked_["qid"].to_numpy(), docs, keys)
-
-    found = _streams(items, ready, shards, F.xxhash64("doc_id", "chunk_key"), search, "qid string, doc_id string, chunk_key string, score double")
-    # A document's chunks may lie in several shards: its best one stands for it.
+                best = best or _Matches(asked, boosts, k, tenant)
+                given = batch.take(pa.array(of))
+                parts.append(_Tokens(given, names.see(given["doc_id"], given["chunk_key"]), [given[c] for c in columns.values()], best.terms))
+                if sum(len(p.doc) for p in parts) >= shard_items:
+                    best.see(parts, means, k1, b)
+                    parts = []
+        if best is not None:
+            if parts:
+                best.see(parts, means, k1, b)
+            yield from best.found(names)
+
+    found = _cells(ready, items, slices, blocks).mapInArrow(search, "qid string, doc_id string, chunk_key string, score double")
+    # A document's chunks may lie in several slices: its best one stands for it.
     best = found.groupBy("qid", "doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "chunk_key")).alias("m")).select("qid", "doc_id", F.col("m.chunk_key").alias("chunk_key"), (-F.col("m.s")).alias("score"))
     return _ranked(best, route, route_ord, weight, k)
 
 
-def _postings(lists: pd.Series, mean: float, k1: float, b: float) -> tuple[dict, np.ndarray, np.ndarray]:
-    terms: dict[str, int] = {}
-    row, text, count = [], [], []
-    for i, words in enumerate(lists):
-        if words is None or not len(words):
-            continue
-        own: dict[str, int] = {}
-        for w in words:
-            own[w] = own.get(w, 0) + 1
-        norm = k1 * (1 - b + b * len(words) / mean)
-        for w, tf in own.items():
-            row.append(terms.setdefault(w, len(terms)))
-            text.append(i)
-            count.append(tf * (k1 + 1) / (tf + norm))
-    rows, texts, impact = np.array(row, np.int64), np.array(text, np.int64), np.array(count, np.float64)
-    order = np.argsort(rows, kind="stable")
-    bounds = np.searchsorted(rows[order], np.arange(len(terms) + 1))
-    return {w: (int(bounds[t]), int(bounds[t + 1])) for w, t in terms.items()}, texts[order], impact[order]
+#: Between the terms of a field in one text; no analyzer gives it.
+_BETWEEN = "\x1f"
+#: Hits that a task holds at most for its questions.
+HELD_HITS = 1 << 21
+
+
+class _Names:
+    """Documents and keys of a stream sorted by them: rows get their place, documents a number, in this order."""
+
+    def __init__(self) -> None:
+        self.docs, self.keys, self.rows, self.last_doc, self.last = [], [], 0, 0, None
+
+    def see(self, docs: pa.Array, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        fresh = np.ones(len(docs), bool)
+        fresh[0] = docs[0].as_py() != self.last
+        if len(docs) > 1:
+            fresh[1:] = np.asarray(pc.not_equal(docs[1:], docs[:-1]))
+        doc, place = self.last_doc + np.cumsum(fresh), self.rows + np.arange(len(docs))
+        self.last_doc, self.last, self.rows = int(doc[-1]), docs[-1].as_py(), self.rows + len(docs)
+        self.docs.append(docs)
+        self.keys.append(keys)
+        return place, doc
+
+    def rows_of(self, qids: pa.Array, who: np.ndarray, place: np.ndarray, score: np.ndarray) -> list[pa.RecordBatch]:
+        at = pa.array(place)
+        columns = {"qid": qids.take(pa.array(who)), "doc_id": pa.chunked_array(self.docs).take(at), "chunk_key": pa.chunked_array(self.keys).take(at), "score": pa.array(score)}
+        return pa.table(columns).combine_chunks().to_batches(max_chunksize=10_000)
+
+
+class _Tokens:
+    """A batch of items: of each field the asked terms by number, with their rows, and the number of all terms."""
+
+    def __init__(self, batch: pa.RecordBatch, named: tuple[np.ndarray, np.ndarray], texts: list[pa.Array], terms: dict[str, int]):
+        self.place, self.doc = named
+        self.access = batch["access"].to_pylist()
+        self.fields = []
+        for text in texts:
+            text = pc.fill_null(text, "")
+            lists = pc.split_pattern(text, _BETWEEN)
+            size = np.where(np.asarray(pc.equal(text, "")), 0, np.asarray(pc.list_value_length(lists)))
+            codes = lists.flatten().dictionary_encode()
+            number = np.array([terms.get(t, -1) for t in codes.dictionary.to_pylist()], np.int32)[np.asarray(codes.indices)]
+            row = np.repeat(np.arange(len(size), dtype=np.int32), np.asarray(pc.list_value_length(lists)))
+            asked = number >= 0
+            self.fields.append((number[asked], row[asked], size))
+
+
+def _looked_up(key: np.ndarray, row: np.ndarray, impact: np.ndarray, number: int, n: int, rows: np.ndarray) -> np.ndarray:
+    """A term's impact in each of the rows, 0 where it is absent."""
+    lo, hi = np.searchsorted(key, (number * n, number * n + n))
+    if lo == hi:
+        return np.zeros(len(rows))
+    there = lo + np.searchsorted(row[lo:hi], rows)
+    there[there == hi] = lo
+    return np.where(row[there] == rows, impact[there], 0.0)
+
+
+class _Matches:
+    """The k best documents so far of each question, by BM25 over blocks of items.
+
+    In a block, terms are taken by the most that they can add. Once what the remaining ones add together stays below the score of the k-th document, they only add to
+    items already found, so the long lists of common words are looked up, not walked. Items are ordered by who may see them; a question walks those that it sees.
+    """
+
+    def __init__(self, asked: list[pa.RecordBatch], boosts: list[float], k: int, tenant: str):
+        table = pa.Table.from_batches(asked).combine_chunks()
+        self.qids, self.k, self.tenant, self.fields = table["qid"].combine_chunks(), k, tenant, len(boosts)
+        lists = [table[c].combine_chunks() for c in ("q_field", "q_term", "q_gain")]
+        size = np.asarray(pc.list_value_length(lists[0]))
+        field, gain = np.asarray(lists[0].flatten()), np.asarray(lists[2].flatten())
+        codes = lists[1].flatten().dictionary_encode()
+        self.terms = {t: i for i, t in enumerate(codes.dictionary.to_pylist())}
+        owner, number = np.repeat(np.arange(len(size)), size), np.asarray(codes.indices).astype(np.int64)
+        self.asked = []
+        for f, boost in enumerate(boosts):
+            mine = field == f
+            self.asked.append((number[mine], gain[mine] * boost, np.searchsorted(owner[mine], np.arange(len(size) + 1)).tolist()))
+        by: dict[frozenset, list[int]] = {}
+        for j, scope in enumerate(table["scope"].to_pylist()):
+            by.setdefault(frozenset(scope), []).append(j)
+        self.scopes = by
+        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = [None] * len(size)
+        self.bound = np.full(len(size), -np.inf)
+
+    def see(self, parts: list[_Tokens], means: list[float], k1: float, b: float) -> None:
+        kinds: dict[str, int] = {}
+        code = np.array([kinds.setdefault(a, len(kinds)) for p in parts for a in p.access], np.int64)
+        order = np.argsort(code, kind="stable")
+        n, code = len(order), code[order]
+        row_of = np.empty(n, np.int64)
+        row_of[order] = np.arange(n)
+        place, doc = (np.concatenate([getattr(p, c) for p in parts])[order] for c in ("place", "doc"))
+        begins = np.cumsum([0, *(len(p.doc) for p in parts)])
+        index = []
+        for f in range(self.fields):
+            number = np.concatenate([p.fields[f][0] for p in parts]).astype(np.int64)
+            row = row_of[np.concatenate([p.fields[f][1] + at for p, at in zip(parts, begins, strict=False)])]
+            key, tf = np.unique(number * n + row, return_counts=True)
+            number, row = np.divmod(key, n)
+            size = np.concatenate([p.fields[f][2] for p in parts])[order]
+            impact = tf * (k1 + 1) / (tf + (k1 * (1 - b + b * size / means[f]))[row])
+            most = np.zeros(len(self.terms))
+            if len(key):
+                starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+                most[number[starts]] = np.maximum.reduceat(impact, starts)
+            index.append((key, row.astype(np.int32), impact, most))
+        bounds = np.searchsorted(code, np.arange(len(kinds) + 1))
+        total = np.zeros(n)
+        for scope, questions in self.scopes.items():
+            sees = np.array([_sees(scope, a, self.tenant) for a in kinds], bool)
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], sees, [False]]).astype(np.int8)))
+            spans = [(int(bounds[i]), int(bounds[j])) for i, j in zip(edge[::2], edge[1::2], strict=True)]
+            shown = None
+            if len(spans) > 8:
+                spans, shown = [(0, n)], np.repeat(sees, np.diff(bounds))
+            if spans:
+                for j in questions:
+                    self._ask(j, n, spans, shown, index, total, place, doc)
+
+    def _ask(self, j: int, n: int, spans: list[tuple[int, int]], shown: np.ndarray | None, index: list[tuple], total: np.ndarray, place: np.ndarray, doc: np.ndarray) -> None:
+        least = self.bound[j] - 1e-6  # rounding at the sixth digit
+        unbounded = self.bound[j] == -np.inf
+        rows_, scores_ = [], []
+        for (number, gain, at), (key, row, impact, most) in zip(self.asked, index, strict=True):
+            number, gain = number[at[j] : at[j + 1]], gain[at[j] : at[j + 1]]
+            adds = gain * most[number]
+            order = np.argsort(-adds)
+            order = order[adds[order] > 0]
+            if not len(order):
+                continue
+            number, gain = number[order], gain[order]
+            rest = np.append(np.cumsum(adds[order][::-1])[::-1], 0.0)
+            if rest[0] < least:
+                continue
+            need = max(1, int(np.count_nonzero(rest[:-1] >= least)))
+            edges = np.searchsorted(key, (number[:need, None] * n + np.array(spans, np.int64).ravel()).ravel()).reshape(need, -1, 2)
+            length = (edges[:, :, 1] - edges[:, :, 0]).sum(1)
+            walked, i = [], 0
+            while i < need:
+                for lo, hi in edges[i].tolist():
+                    if hi > lo:
+                        rows, more = row[lo:hi], gain[i] * impact[lo:hi]
+                        had = total[rows]
+                        total[rows] = had + more
+                        walked.append(rows[had == 0.0])
+                i += 1
+                if unbounded and i < need and i > 1 and length[i:need].sum() > 3000 and walked:
+                    unbounded = False
+                    # The best found so far, scored in full, may show that the long lists that follow need no walk.
+                    rows = np.concatenate(walked)
+                    score = total[rows]
+                    if shown is not None:
+                        rows, score = rows[shown[rows]], score[shown[rows]]
+                    if len(rows) > 8 * self.k:
+                        best = np.argpartition(-score, 8 * self.k)[: 8 * self.k]
+                        rows, score = rows[best], score[best]
+                    if len(rows) >= self.k:
+                        for t in range(i, len(number)):
+                            score = score + gain[t] * _looked_up(key, row, impact, int(number[t]), n, rows)
+                        order = np.argsort(-score)
+                        _, once = np.unique(doc[rows[order]], return_index=True)
+                        if len(once) >= self.k:
+                            least = max(least, round(float(score[order[np.partition(once, self.k - 1)[self.k - 1]]]), 6) - 1e-6)
+                            need = max(i, min(need, int(np.count_nonzero(rest[:-1] >= least))))
+            if not walked:
+                continue
+            rows = np.concatenate(walked) if len(walked) > 1 else walked[0]
+            score = total[rows]
+            total[rows] = 0.0
+            ok = score + rest[need] >= least
+            if shown is not None:
+                ok &= shown[rows]
+            rows, score = rows[ok], score[ok]
+            for t in range(need, len(number)):
+                if not len(rows):
+                    break
+                score = score + gain[t] * _looked_up(key, row, impact, int(number[t]), n, rows)
+                ok = score + rest[t + 1] >= least
+                rows, score = rows[ok], score[ok]
+            if len(rows):
+                rows_.append(rows)
+                scores_.append(score)
+        if not rows_:
+            return
+        rows, score = np.concatenate(rows_), np.round(np.concatenate(scores_), 6)
+        old = self.kept[j]
+        places, docs = place[rows], doc[rows]
+        if old is not None:
+            places, docs, score = np.concatenate([old[0], places]), np.concatenate([old[1], docs]), np.concatenate([old[2], score])
+        keep = score > 0
+        if self.bound[j] > 0:
+            keep = score >= self.bound[j]
+        places, docs, score = places[keep], docs[keep], score[keep]
+        order = np.lexsort((places, -score))
+        _, once = np.unique(docs[order], return_index=True)
+        order = order[np.sort(once)[: self.k]]
+        self.kept[j] = places[order], docs[order], score[order]
+        if len(order) == self.k:
+            self.bound[j] = score[order[-1]]
+
+    def found(self, names: _Names) -> Iterator[pa.RecordBatch]:
+        some = [(j, x) for j, x in enumerate(self.kept) if x is not None and len(x[0])]
+        for at in range(0, len(some), 10_000):
+            part = some[at : at + 10_000]
+            who = np.repeat([j for j, _ in part], [len(x[0]) for _, x in part])
+            yield from names.rows_of(self.qids, who, np.concatenate([x[0] for _, x in part]), np.concatenate([x[2] for _, x in part]))
+
+
+def _cells(questions: DataFrame, items: DataFrame, slices: int, blocks: int) -> DataFrame:
+    """Rows of both tables in one task for each slice of the items and block of the questions: its questions (kind 0), then its items (kind 1) by document and key."""
+    cell = lambda a, b: (a * blocks + b).cast("int")
+    left = questions.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("kind", F.lit(0))
+    left = left.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda s: cell(s, F.col("_b"))))).drop("_b")
+    right = items.withColumn("_s", F.pmod(F.xxhash64("doc_id", "chunk_key"), F.lit(slices))).withColumn("kind", F.lit(1))
+    right = right.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: cell(F.col("_s"), b)))).drop("_s")
+    return left.unionByName(right, allowMissingColumns=True).repartitionById(slices * blocks, F.col("cell")).sortWithinPartitions("cell", "kind", "doc_id", "chunk_key")
 
 
 #: Questions and names of items that a task holds at most, and questions that are compared at a time.
 HELD_QUESTIONS, HELD_NAMES, TOGETHER = 32_768, 1 << 21, 256
 
 
-def _grid(spark: SparkSession, items: int, item_bytes: int, questions: int, question_bytes: int, found_bytes: int) -> tuple[int, int]:
+def _grid(spark: SparkSession, items: int, item_bytes: int, questions: int, question_bytes: int, found_bytes: int, held: int) -> tuple[int, int]:
     """(slices of the items, blocks of the questions): each pair is one task, which holds its questions and takes its items as a stream. Every slice is copied for each
     block and every block for each slice, whose results add up; of the grids with enough tasks the one that moves the fewest bytes."""
     tasks = min(2 * spark.sparkContext.defaultParallelism, items * questions // (1 << 22) + 1)
-    least = max(1, -(-questions // HELD_QUESTIONS))
+    least = max(1, -(-questions // held))
     grids = [(max(-(-tasks // b), -(-items // HELD_NAMES)), b) for b in range(least, max(least, tasks) + 1)]
     return min(grids, key=lambda g: g[1] * items * item_bytes + g[0] * questions * (question_bytes + found_bytes))
 
@@ -314,15 +439,14 @@ def dense(
     scope = F.array_sort(F.array_distinct(F.filter(F.coalesce("scope", F.array().cast("array<string>")), lambda s: s.isNotNull()))) if scoped else F.array().cast("array<string>")
     ready = questions.filter("vector is not null").select("qid", scope.alias("scope"), F.col("vector").cast("array<double>").alias("q_vector"))
     n, dims = items.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).collect()[0]
-    slices, blocks = _grid(items.sparkSession, n, 4 * dims + 60, ready.count(), 8 * dims + 40, 50 * k)
+    slices, blocks = _grid(items.sparkSession, n, 4 * dims + 60, ready.count(), 8 * dims + 40, 50 * k, HELD_QUESTIONS)
     k_kept = min(k, k_chunks)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         groups: list[tuple[int, frozenset, list[_Nearest]]] | None = None
         waiting, count = [], 0
-        names: list[tuple[int, pa.Array, pa.Array]] = []
-        at, doc_at, last_doc = 0, 0, None
+        names = _Names()
 
         def ask() -> list[tuple[int, frozenset, list[_Nearest]]]:
             if not held:
@@ -340,19 +464,10 @@ def dense(
             return out
 
         def take() -> None:
-            nonlocal waiting, count, at, doc_at, last_doc
+            nonlocal waiting, count
             block = pa.Table.from_batches(waiting).combine_chunks()
             waiting, count = [], 0
-            docs = block["doc_id"].combine_chunks()
-            fresh = np.ones(len(docs), bool)
-            fresh[0] = docs[0].as_py() != last_doc
-            if len(docs) > 1:
-                fresh[1:] = np.asarray(pc.not_equal(docs[1:], docs[:-1]))
-            doc = doc_at + np.cumsum(fresh)
-            doc_at, last_doc = int(doc[-1]), docs[-1].as_py()
-            place = at + np.arange(len(docs))
-            at += len(docs)
-            names.append((int(place[0]), docs, block["chunk_key"].combine_chunks()))
+            place, doc = names.see(block["doc_id"].combine_chunks(), block["chunk_key"].combine_chunks())
             codes = block["access"].combine_chunks().dictionary_encode()
             kinds, code = codes.dictionary.to_pylist(), np.asarray(codes.indices)
             vectors = block["vector"].combine_chunks()
@@ -384,22 +499,16 @@ def dense(
                     take()
         if waiting:
             take()
-        if not groups or not names:
+        if not groups:
             return
         qids = pa.chunked_array([b.column(0) for b in held]).combine_chunks()
-        docs, keys = (pa.chunked_array([x[j] for x in names]) for j in (1, 2))
         for _, _, parts in groups:
             for part in parts:
                 part.merge()
                 if len(part.who):
-                    places = pa.array(part.place)
-                    yield from pa.table({"qid": qids.take(pa.array(part.rows[part.who])), "doc_id": docs.take(places), "chunk_key": keys.take(places), "score": pa.array(part.score)}).combine_chunks().to_batches()
+                    yield from names.rows_of(qids, part.rows[part.who], part.place, part.score)
 
-    cell = lambda a, b: (a * blocks + b).cast("int")
-    left = ready.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda s: cell(s, F.col("_b"))))).drop("_b").withColumn("kind", F.lit(0))
-    right = items.withColumn("_s", F.pmod(F.xxhash64("doc_id", "chunk_key"), F.lit(slices))).withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: cell(F.col("_s"), b)))).drop("_s").withColumn("kind", F.lit(1))
-    rows = left.unionByName(right, allowMissingColumns=True).repartitionById(slices * blocks, F.col("cell")).sortWithinPartitions("cell", "kind", "doc_id", "chunk_key")
-    found = rows.mapInArrow(search, "qid string, doc_id string, chunk_key string, score double")
+    found = _cells(ready, items, slices, blocks).mapInArrow(search, "qid string, doc_id string, chunk_key string, score double")
     near = Window.partitionBy("qid").orderBy(F.col("score").desc(), "doc_id", "chunk_key")
     found = found.withColumn("_n", F.row_number().over(near)).filter(F.col("_n") <= k_chunks)
     best = found.groupBy("qid", "doc_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "chunk_key")).alias("m")).select("qid", "doc_id", F.col("m.chunk_key").alias("chunk_key"), (-F.col("m.s")).alias("score"))

@@ -207,10 +207,12 @@ def acl_unscoped_bypass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Retrieval.
 
+ACCESS = ("doc_id", "tenant", "source", "allowed", "denied")
+
 
 def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks with their term arrays, made once as a table: sizes, document frequencies and the search each read the columns they need."""
-    return stored(retrieval.with_terms(chunks_of(spark, sf_dir)).drop("title", "text", "vector"), "index")
+    return stored(retrieval.with_terms(chunks_of(spark, sf_dir, (*ACCESS, "title", "text"))).drop("title", "text"), "index")
 
 
 def df_idf_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,9 +254,6 @@ def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks_of(spark, sf_dir, ("source", "vector"), keys).select(F.col("chunk_key").alias("qid"), "vector", F.array("source").alias("scope"))
 
 
-ACCESS = ("doc_id", "tenant", "source", "allowed", "denied")
-
-
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = search.dense(_probes(spark, sf_dir), chunks_of(spark, sf_dir, (*ACCESS, "vector")), k=CUT, k_chunks=500, scoped=False)
     return hits.select("qid", "rank", "doc_id", "chunk_key", "score")
